@@ -8,6 +8,7 @@ offsets, token counts), and a footer with the place of the index. One document i
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,10 @@ FOOTER = "<QQ8s"
 #: The dictionary is trained on so many documents at most, and on so many characters of each.
 TRAIN_DOCS, TRAIN_CHARS, DICT_BYTES = 1_000, 8_192, 65_536
 LEVEL = 3
-CACHE = 400_000
+CACHE = 600_000
+#: Latin letters that stay single letters when composed and lower-cased, then ASCII punctuation other than an
+#: apostrophe: the pre-tokenizer parts the two, and nothing else joins them.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+)([!-&(-/:-@\\[-^`{-~]*)")
 MANIFEST = "part int, file string, first_doc long, n_docs long, n_tokens long, n_bytes long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, n_bytes long"
 
@@ -55,10 +59,16 @@ class Encoder:
         cache, parts = self.cache, [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         hits = [list(map(cache.get, p)) for p in parts]
         new = list({x for p, h in zip(parts, hits, strict=True) if None in h for x, y in zip(p, h, strict=True) if y is None})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+        cut = [SIMPLE.fullmatch(x) for x in new]
+        ends = [(m[1].lower() if m[1].isascii() else m[1], m[2]) if m else None for m in cut]
+        ask = list({y for x, p in zip(new, ends, strict=True) for y in (p or (x,)) if y not in cache})
+        for i in range(0, len(ask), 4096):
+            some = ask[i : i + 4096]
             for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 cache[x] = np.array(e.ids, self.width).tobytes()
+        for x, p in zip(new, ends, strict=True):
+            if p:
+                cache[x] = cache[p[0]] + cache[p[1]]
         return [b"".join(map(cache.__getitem__, p) if None in h else h) for p, h in zip(parts, hits, strict=True)]
 
 
@@ -75,11 +85,15 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """A dictionary from a bounded sample: the TRAIN_DOCS documents of least hash, TRAIN_CHARS characters of each.
+    """A dictionary from a bounded sample: the TRAIN_DOCS documents whose ids have the least hashes, TRAIN_CHARS
+    characters of each.
 
     Too few or too short documents to train on give the empty dictionary.
     """
-    rows = docs.select(F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(TRAIN_DOCS).collect()
+    ids = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    texts = docs.join(F.broadcast(ids), "doc_id")  # TRAIN_DOCS rows at most
+    texts = texts.groupBy("doc_id").agg(F.max(F.substring("text", 1, TRAIN_CHARS)).alias("text"))
+    rows = sorted(texts.collect(), key=lambda r: r.doc_id)
     samples = [x for x in encoder(path).encode([r.text or "" for r in rows]) if x]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -111,7 +125,10 @@ def write(docs: DataFrame, directory: str, vocabulary: str | None = None, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(path), TaskContext.get()
-        compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(raw), write_content_size=True).compress
+        shared = _dict(raw)
+        if shared:
+            shared.precompute_compress(level=LEVEL)  # else every frame would digest the dictionary again
+        compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True).compress
         name = f"tokens-{task.partitionId():06d}-{task.taskAttemptId()}"
         files, end = Files(directory), np.array([end_id], enc.width).tobytes()
         ids, valid, sizes, counts = [], [], [], []
