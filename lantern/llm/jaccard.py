@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 
 from lantern.llm.common import checkpoint, components, small_batches, written
 
-SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"} | {chr(c): chr(c + 32) for c in range(65, 91)})
+#: ASCII white space to spaces, A-Z to a-z; other bytes of UTF-8 stay.
+FOLDED = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Counters of the table that says how common a shingle is (4 bytes each): its size is fixed, whatever the corpus.
 COUNTERS, CHUNK, FAN = 1 << 20, 1 << 14, 64
 #: Pivots of a region in the first round, and the factor by which they grow from round to round.
 PIVOTS, GROWTH, ROUNDS = 1, 4, 24
+#: Bits of the screen for documents whose sets are wanted again.
+SCREEN = 1 << 22
 CACHE = 1_000_000
 
 
@@ -45,7 +48,9 @@ class Shingler:
         self.size, self.words = size, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = [w for w in (text or "").translate(SPACE).split(" ") if w]
+        words = (text or "").encode().translate(FOLDED).split(b" ")
+        if b"" in words:
+            words = [w for w in words if w]
         if not words:
             return np.zeros(0, np.int64)
         if len(self.words) > CACHE:
@@ -61,34 +66,29 @@ class Shingler:
         out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
             out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-        return np.unique(out).view(np.int64)
+        out = np.sort(out)
+        return out[np.append(True, out[1:] != out[:-1])].view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, key (128-bit hash of the set; null for an empty one), shingles for every row."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(size)
-        for batch in batches:
-            sets = [make(t) for t in batch.column(1).to_pylist()]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n", "key", "shingles"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n long, key binary, shingles array<long>")
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
 
 
-def commonness(sets: DataFrame) -> np.ndarray:
+def commonness(texts: DataFrame, size: int) -> np.ndarray:
     """How many documents hold a shingle, added up over shingles with the same counter: over all documents.
 
     Tasks send compressed counter chunks; groups of FAN are summed until there is one of each.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total, make = np.zeros(COUNTERS, np.int64), Shingler(size)
         for batch in batches:
-            h = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            h = np.concatenate([np.zeros(0, np.int64), *map(make, batch.column(0).to_pylist())])
             total += np.bincount(h & (COUNTERS - 1), minlength=COUNTERS)
         n = TaskContext.get().partitionId()
         parts = [zlib.compress(total[i : i + CHUNK].tobytes(), 1) for i in range(0, COUNTERS, CHUNK)]
@@ -101,8 +101,8 @@ def commonness(sets: DataFrame) -> np.ndarray:
         return pa.table({"chunk": group.column("chunk")[:1], "part": group.column("up")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     schema = "chunk int, part int, counts binary"
-    parts = sets.select("shingles").mapInArrow(count, schema)
-    n = sets.rdd.getNumPartitions()
+    parts = texts.select("text").mapInArrow(count, schema)
+    n = texts.rdd.getNumPartitions()
     while True:
         parts = parts.withColumn("up", F.expr(f"part div {FAN}").cast("int")).groupBy("chunk", "up").applyInArrow(add, schema)
         n = -(-n // FAN)
@@ -114,22 +114,46 @@ def commonness(sets: DataFrame) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def _prefixes(sets: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    shared = sets.sparkSession.sparkContext.broadcast(common)
+def _prefixes(texts: DataFrame, size: int, common: np.ndarray, percent: int) -> DataFrame:
+    """doc_id, n, key (128-bit hash of the set; null for an empty one), first (the prefix) for every row."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, make = shared.value, Shingler(size)
+        for batch in batches:
+            keys, sizes, firsts = [], [], []
+            for x in map(make, batch.column(1).to_pylist()):
+                keys.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
+                sizes.append(len(x))
+                keep = len(x) - -(-percent * len(x) // 100) + 1 if len(x) else 0
+                # A set is sorted by hash, so a stable sort by count orders by (count, hash).
+                firsts.append(x[np.argsort(table[x & (COUNTERS - 1)], kind="stable")[:keep]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(firsts)], names=["doc_id", "n", "key", "first"])
+
+    return texts.mapInArrow(run, "doc_id long, n long, key binary, first array<long>")
+
+
+def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """rep, n, shingles of the wanted representatives (rep, key, least), from their texts.
+
+    A bitmap of SCREEN bits of their ids, whatever their number, spares most other documents; the join is exact.
+    """
+    bits = wanted.select(F.pmod(F.xxhash64("least"), F.lit(SCREEN)).cast("int").alias("bit")).distinct().toArrow()  # SCREEN rows at most
+    screen = np.zeros(SCREEN, bool)
+    screen[bits.column("bit").to_numpy()] = True
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(screen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        screen, make = np.unpackbits(shared.value), Shingler(size)
         for batch in batches:
-            values, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *batch.column(1).to_pylist()])
-            counts = table[values & (COUNTERS - 1)]
-            firsts = []
-            for a, b in zip(ends, ends[1:], strict=False):
-                keep = (b - a) - -(-percent * (b - a) // 100) + 1
-                firsts.append(values[a:b][np.lexsort((values[a:b], counts[a:b]))[:keep]])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], names=["doc_id", "n", "key", "first"])
+            batch = batch.filter(pa.array(screen[batch.column(2).to_numpy()] == 1))
+            sets = [make(t) for t in batch.column(1).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(sets)], names=["doc_id", "n", "key", "shingles"])
 
-    return sets.filter("n > 0").mapInArrow(run, "doc_id long, n long, key binary, first array<long>")
+    screened = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SCREEN)).cast("int").alias("bit")).mapInArrow(run, "doc_id long, n long, key binary, shingles array<long>")
+    on = (screened["key"] == wanted["key"]) & screened["doc_id"].eqNullSafe(wanted["least"])
+    return screened.join(wanted, on).select("rep", "n", "shingles").dropDuplicates(["rep"])
 
 
 def _regions(reps: DataFrame) -> DataFrame:
@@ -141,18 +165,12 @@ def _regions(reps: DataFrame) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, d, linked of distinct pairs of representatives, from their whole sets.
-
-    Pairs whose sizes alone rule out a link are not measured: d is null.
-    """
-    sizes = sets.select("rep", "n")
-    p = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    near = p.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    far = p.filter(100 * F.least("na", "nb") < percent * F.greatest("na", "nb")).select("a", "b", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked"))
-    both = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
+    """a, b, d, linked of distinct pairs of representatives, from their whole sets."""
+    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
     union = F.col("na") + F.col("nb") - F.col("i")
-    return both.select("a", "b", (1 - F.col("i") / union).alias("d"), (100 * F.col("i") >= percent * union).alias("linked")).union(far)
+    return both.select("a", "b", (1 - F.col("i") / union).alias("d"), (100 * F.col("i") >= percent * union).alias("linked"))
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,17 +183,15 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     Equal sets are joined once, by a representative, so copies cost a row each.
     """
     spark = docs.sparkSession
-    sets = written(shingle_sets(docs, size, id_col, text_col), "jaccard-sets")
-    first = _prefixes(sets, commonness(sets), percent)
+    texts = _texts(docs, id_col, text_col)
+    first = written(_prefixes(texts, size, commonness(texts, size), percent), "jaccard-docs")
     # A null id must not hide that a set has a document: it stands behind all others.
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")
-    reps = first.groupBy("key").agg(F.min(order)["doc_id"].alias("least"), F.first("first").alias("first"))
+    reps = first.filter("n > 0").groupBy("key").agg(F.min(order)["doc_id"].alias("least"), F.first("first").alias("first"))
     reps = written(reps.select(F.xxhash64("key").alias("rep"), "key", "least", "first"), "jaccard-reps")
     region = written(_regions(reps), "jaccard-regions")
-    wanted = region.select("rep").distinct().join(reps.select("rep", "key", "least"), "rep")
-    # One row of shingles for each set in a region.
-    full = sets.filter("n > 0").select("doc_id", "key", "n", "shingles").join(wanted, (sets["key"] == wanted["key"]) & sets["doc_id"].eqNullSafe(wanted["least"]))
-    members = written(full.select("rep", "n", "shingles").dropDuplicates(["rep"]), "jaccard-members")
+    wanted = written(reps.select("rep", "key", "least").join(region.select("rep").distinct(), "rep", "left_semi"), "jaccard-wanted")
+    members = written(_members(texts, size, wanted), "jaccard-members")
     radius = 1 - percent / 100
     links = None
     pivots = PIVOTS
@@ -204,7 +220,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     least = reps.select("rep", "key", "least").join(part.withColumnRenamed("id", "rep"), "rep", "left")
     smallest = least.groupBy(F.coalesce("component_id", "rep").alias("part")).agg(F.min("least").alias("component"))
     named = least.withColumn("part", F.coalesce("component_id", "rep")).join(smallest, "part").select("key", "component")
-    out = sets.select("doc_id", "n", "key").join(named, "key", "left")
+    out = first.select("doc_id", "n", "key").join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -212,20 +228,20 @@ def _cells(region: DataFrame, chosen: DataFrame, met: DataFrame, dist: DataFrame
     """The regions of the next round: Voronoi cells of the pivots with their guests, without the pivots themselves.
 
     A member whose home is pivot h enters the cell of c too if d(x, c) <= d(x, h) + 2 r and d(x, c) is within r of
-    the distances that members at home in c have from c: else no such member can be within r of it. Where sizes rule a
-    link out, d is unknown, and no window is applied. Regions of one component need no further work.
+    the distances that members at home in c have from c: else no such member can be within r of it. Regions of one
+    component need no further work.
     """
     ends = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")]
     m = met.filter("rep <> pivot").select("region", "rep", "pivot", *ends).join(dist, ["a", "b"]).select("region", "rep", "pivot", "d")
     m = m.join(chosen.select("region", F.col("pivot").alias("rep")), ["region", "rep"], "left_anti")
-    best = m.groupBy("region", "rep").agg(F.min(F.struct(F.coalesce("d", F.lit(2.0)).alias("d"), "pivot")).alias("home"))
+    best = m.groupBy("region", "rep").agg(F.min(F.struct("d", "pivot")).alias("home"))
     m = m.join(best, ["region", "rep"])
     at_home = m.filter(F.col("home.pivot") == F.col("pivot"))
-    reach = at_home.groupBy("region", "pivot").agg(F.min(F.coalesce("d", F.lit(-9.0))).alias("lo"), F.max(F.coalesce("d", F.lit(9.0))).alias("hi"))
+    reach = at_home.groupBy("region", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     m = m.join(reach, ["region", "pivot"])
     eps = 1e-9
     inside = (F.col("d") <= F.col("home.d") + 2 * radius + eps) & (F.col("d") >= F.col("lo") - radius - eps) & (F.col("d") <= F.col("hi") + radius + eps)
-    stays = m.filter((F.col("home.pivot") == F.col("pivot")) | F.col("d").isNull() | inside).select(F.xxhash64("region", "pivot").alias("region"), "rep")
+    stays = m.filter((F.col("home.pivot") == F.col("pivot")) | inside).select(F.xxhash64("region", "pivot").alias("region"), "rep")
     stays = stays.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("region", "rep", F.coalesce("component_id", "rep").alias("label"))
     mixed = stays.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("region")
     return written(stays.join(mixed, "region").select("region", "rep"), "jaccard-cells")
