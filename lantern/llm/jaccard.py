@@ -28,6 +28,8 @@ from lantern.llm.common import checkpoint, components, small_batches, written
 FOLDED = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Counters of the table that says how common a shingle is (4 bytes each): its size is fixed, whatever the corpus.
 COUNTERS, CHUNK, FAN = 1 << 20, 1 << 14, 64
+#: Shingles that a task counts at once.
+RUN = 1 << 22
 #: Pivots of a region in the first round, and the factor by which they grow from round to round.
 PIVOTS, GROWTH, ROUNDS = 1, 4, 24
 #: Bits of the screen for documents whose sets are wanted again.
@@ -80,16 +82,30 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def commonness(texts: DataFrame, size: int) -> np.ndarray:
-    """How many documents hold a shingle, added up over shingles with the same counter: over all documents.
+    """How often shingles repeat, added up over shingles with the same counter: over all documents.
 
-    Tasks send compressed counter chunks; groups of FAN are summed until there is one of each.
+    Each task counts in runs of RUN shingles and leaves out those that it sees once: most shingles are in one document,
+    and would drown the others in the counters. Any order is exact; this one makes shared shingles come last. Tasks send
+    compressed counter chunks; groups of FAN are summed until there is one of each.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, make = np.zeros(COUNTERS, np.int64), Shingler(size)
+        held: list[np.ndarray] = []
+
+        def flush() -> None:
+            h = np.sort(np.concatenate([np.zeros(0, np.int64), *held]))
+            again = np.append(False, h[1:] == h[:-1])
+            at = np.flatnonzero(again | np.append(again[1:], False))
+            np.add.at(total, h[at] & (COUNTERS - 1), 1)
+            held.clear()
+
         for batch in batches:
-            h = np.concatenate([np.zeros(0, np.int64), *map(make, batch.column(0).to_pylist())])
-            total += np.bincount(h & (COUNTERS - 1), minlength=COUNTERS)
+            held += map(make, batch.column(0).to_pylist())
+            if sum(map(len, held)) >= RUN:
+                flush()
+        if held:
+            flush()
         n = TaskContext.get().partitionId()
         parts = [zlib.compress(total[i : i + CHUNK].tobytes(), 1) for i in range(0, COUNTERS, CHUNK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "part", "counts"])
@@ -152,8 +168,10 @@ def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(sets)], names=["doc_id", "n", "key", "shingles"])
 
     screened = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SCREEN)).cast("int").alias("bit")).mapInArrow(run, "doc_id long, n long, key binary, shingles array<long>")
-    on = (screened["key"] == wanted["key"]) & screened["doc_id"].eqNullSafe(wanted["least"])
-    return screened.join(wanted, on).select("rep", "n", "shingles").dropDuplicates(["rep"])
+    # Plain keys, so that repeated rows are dropped where the join has brought them together.
+    plain = lambda c: F.coalesce(c, F.lit(-(1 << 63)).cast("long")).alias("doc")
+    left, right = screened.select("key", plain(F.col("doc_id")), "n", "shingles"), wanted.select("key", plain(F.col("least")), "rep")
+    return left.join(right, ["key", "doc"]).dropDuplicates(["key", "doc"]).select("rep", "n", "shingles")
 
 
 def _regions(reps: DataFrame) -> DataFrame:
