@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lantern.llm.common import checkpoint, components, small_batches, written
+from lantern.llm.common import bucketed, checkpoint, components, small_batches, written
 
 #: ASCII white space to spaces, A-Z to a-z; other bytes of UTF-8 stay.
 FOLDED = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -168,10 +168,10 @@ def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(sets)], names=["doc_id", "n", "key", "shingles"])
 
     screened = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SCREEN)).cast("int").alias("bit")).mapInArrow(run, "doc_id long, n long, key binary, shingles array<long>")
-    # Plain keys, so that repeated rows are dropped where the join has brought them together.
-    plain = lambda c: F.coalesce(c, F.lit(-(1 << 63)).cast("long")).alias("doc")
-    left, right = screened.select("key", plain(F.col("doc_id")), "n", "shingles"), wanted.select("key", plain(F.col("least")), "rep")
-    return left.join(right, ["key", "doc"]).dropDuplicates(["key", "doc"]).select("rep", "n", "shingles")
+    # Joined by representative alone, so that repeated rows are dropped, and buckets written, without moving sets again.
+    left, right = screened.withColumn("rep", F.xxhash64("key")).alias("x"), wanted.alias("w")
+    on = (F.col("x.rep") == F.col("w.rep")) & (F.col("x.key") == F.col("w.key")) & F.col("x.doc_id").eqNullSafe(F.col("w.least"))
+    return left.join(right, on).select("x.rep", "x.n", "x.shingles").dropDuplicates(["rep"])
 
 
 def _regions(reps: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     reps = written(reps.select(F.xxhash64("key").alias("rep"), "key", "least", "first"), "jaccard-reps")
     region = written(_regions(reps), "jaccard-regions")
     wanted = written(reps.select("rep", "key", "least").join(region.select("rep").distinct(), "rep", "left_semi"), "jaccard-wanted")
-    members = written(_members(texts, size, wanted), "jaccard-members")
+    members = bucketed(_members(texts, size, wanted), "jaccard_members", "rep")
     radius = 1 - percent / 100
     links = None
     pivots = PIVOTS
