@@ -175,7 +175,9 @@ class ArchiveReader(DataSourceReader):
                 error = f"{type(e).__name__}: {e}"
         return None, None, None, error
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without archives
+            return
         files = Files(self.directory)
         entries = self.index(files, partition.archive)[partition.first : partition.last]
         schema = pa.schema([("doc_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("n_bytes", pa.int64()), ("error", pa.string())])

@@ -18,6 +18,8 @@ from lantern.llm.common import checkpoint, running_totals, written
 SHARDS, ROUNDS = 40, 8
 #: Documents that a cell holds, about; buckets in running sums.
 CELL, BUCKETS = 64, 1024
+#: While groups gather, a shard may hold so much more than its share of documents with links; it gives them up at the end.
+SLACK = 0.5
 
 
 def text_group(text: Column) -> Column:
@@ -67,7 +69,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     linked = facts.join(hubs, "hub", "left").select("doc_id", "size", "text_crc32", "spread", F.when(F.col("n").isNotNull(), F.col("hub")).alias("hub"), start.alias("start"), block.alias("block"))
     linked = written(linked, "shard-linked")
     cells = linked.filter("hub is not null").groupBy("hub", "start", "block").agg(F.count(F.lit(1)).alias("w")).withColumn("shard", F.col("start"))
-    cells = propagate(checkpoint(cells), low)
+    cells = propagate(checkpoint(cells), int(low * (1 + SLACK)) + 1)
     # Places in a shard: whole cells one after another, and documents within a cell.
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("hub", "start", "block"), F.lit(BUCKETS)).cast("int"))
     cells = running_totals(cells, ["shard"], "bucket", [F.col("hub"), F.col("start"), F.col("block")], F.col("w"), "before")
@@ -77,15 +79,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     placed = placed.withColumn("place", F.col("before") + F.row_number().over(at) - 1)
     stay = F.when(F.col("place") < quota, F.col("shard"))
     columns = ["doc_id", "size", "text_crc32", "spread"]
-    placed = written(placed.select(*columns, stay.alias("shard")).union(linked.filter("hub is null").select(*columns, F.lit(None).cast("int"))), "shard-placed")
+    # What is given up goes to its new places group by group; a large group takes several buckets.
+    spread = F.pmod(F.xxhash64("spread"), F.lit(BUCKETS)).cast("int")
+    group = (F.pmod(F.xxhash64("hub"), F.lit(BUCKETS // 16)) * 16 + F.pmod(F.xxhash64("start", "block"), F.lit(16))).cast("int")
+    placed = placed.select(*columns, "hub", group.alias("bucket"), stay.alias("shard"))
+    placed = written(placed.union(linked.filter("hub is null").select(*columns, "hub", spread, F.lit(None).cast("int"))), "shard-placed")
     held = {r.shard: r.n for r in placed.filter("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a shard
     gaps, ends = 0, []
     for s in range(shards):
         gaps += low + (s < more) - held.get(s, 0)
         ends.append(gaps)
-    spread = F.pmod(F.xxhash64("spread"), F.lit(BUCKETS)).cast("int")
-    loose = running_totals(placed.filter("shard is null").withColumn("bucket", spread), [], "bucket", [F.col("spread")], F.lit(1), "place")
+    loose = running_totals(placed.filter("shard is null"), [], "bucket", [F.col("hub").asc_nulls_last(), F.col("spread")], F.lit(1), "place")
     fill = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("place"))).cast("int")
-    done = placed.filter("shard is not null").unionByName(loose.select(*columns, fill.alias("shard")))
+    done = placed.filter("shard is not null").select(*columns, "shard").unionByName(loose.select(*columns, fill.alias("shard")))
     done = running_totals(done.withColumn("bucket", spread), ["shard"], "bucket", [F.col("spread")], F.lit(1), "slot")
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
