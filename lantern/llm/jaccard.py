@@ -170,7 +170,9 @@ def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     screened = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SCREEN)).cast("int").alias("bit")).mapInArrow(run, "doc_id long, n long, key binary, shingles array<long>")
     # Joined by representative alone, so that repeated rows are dropped, and buckets written, without moving sets again.
     left, right = screened.withColumn("rep", F.xxhash64("key")).alias("x"), wanted.alias("w")
-    on = (F.col("x.rep") == F.col("w.rep")) & (F.col("x.key") == F.col("w.key")) & F.col("x.doc_id").eqNullSafe(F.col("w.least"))
+    # The rest of the condition is written so that it is no join key: rows stay dealt by representative.
+    same = F.xxhash64("x.key", "x.doc_id").bitwiseXOR(F.xxhash64("w.key", "w.least")) == 0
+    on = (F.col("x.rep") == F.col("w.rep")) & same
     return left.join(right, on).select("x.rep", "x.n", "x.shingles").dropDuplicates(["rep"])
 
 
