@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 CACHE = 400_000
 LATE = np.int64(1) << 60
+ID_BITS = 24
+ID_MASK, LAST = (1 << ID_BITS) - 1, 1 << 60
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -47,6 +50,11 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+def pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """A byte-level BPE vocabulary file, able to encode and decode."""
 
@@ -73,6 +81,8 @@ class Codec:
             self.merge[a, b] = (r, c)
             if self.rank[c] < 0:
                 self.left[c], self.right[c], self.rank[c] = a, b, r
+        #: The same in one number for each pair, rank first.
+        self.step = {p: r << ID_BITS | c for p, (r, c) in self.merge.items()}
         keys = np.array([a * n + b for a, b in self.merge], np.int64)
         ranks = np.array([r for r, _ in self.merge.values()], np.int64)
         order = np.argsort(keys)
@@ -149,16 +159,17 @@ class Codec:
         ids = [self.byte_id[b] for b in word]
         n, merge = len(ids), self.merge
         if n <= 48:
-            none = (len(merge), -1)
-            found = [merge.get(p, none) for p in zip(ids, ids[1:])]
-            while found and (best := min(found)) is not none:
+            step, none = self.step, LAST
+            found = [step.get(p, none) for p in zip(ids, ids[1:])]
+            while found and (best := min(found)) != none:
                 i = found.index(best)
-                ids[i : i + 2] = [best[1]]
-                del found[i]
+                made = best & ID_MASK
+                del ids[i], found[i]
+                ids[i] = made
                 if i:
-                    found[i - 1] = merge.get((ids[i - 1], ids[i]), none)
+                    found[i - 1] = step.get((ids[i - 1], made), none)
                 if i < len(found):
-                    found[i] = merge.get((ids[i], ids[i + 1]), none)
+                    found[i] = step.get((made, ids[i + 1]), none)
             return ids
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
@@ -183,7 +194,7 @@ class Codec:
         raw = [w.encode() for w in words]
         if not self.monotone:
             for w, b in zip(words, raw, strict=True):
-                self.words[w] = np.array(self.merged(b), "<u4").tobytes()
+                self.words[w] = pack(self.merged(b))
             return
         said = [self.propose(b) for b in raw]
         owner = np.repeat(np.arange(len(said)), [len(s) - 1 for s in said])
@@ -202,7 +213,7 @@ class Codec:
                     known[i] = self.pairs[k] = x
             wrong = set(owner[~np.array(known, bool)[place]].tolist())
         for i, w in enumerate(words):
-            self.words[w] = np.array(self.merged(raw[i]) if i in wrong else said[i], "<u4").tobytes()
+            self.words[w] = pack(self.merged(raw[i]) if i in wrong else said[i])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
