@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,11 +57,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files of finished jobs now: executors keep them until the driver's JVM
+    collects the plans that made them, which a driver with little to do may not do for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: cuts lineage, keeps sizes and column pruning."""
+    """The rows written as Parquet to the shared folder and read again: cuts lineage, keeps sizes and column pruning.
+
+    Nothing read from the result needs the shuffles behind df again, so they are released."""
     spark = df.sparkSession
     path = fresh_dir(spark, what)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,6 +80,7 @@ def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"lantern_{what}_{uuid.uuid4().hex}"
     df.write.bucketBy(partitions(spark), key).sortBy(key).format("parquet").saveAsTable(name)
+    release(spark)
     return spark.table(name)
 
 
