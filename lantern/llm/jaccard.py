@@ -179,8 +179,11 @@ def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
 def _regions(reps: DataFrame) -> DataFrame:
     """region, rep: the members of the shingle regions with two members at least; of equal regions, one."""
     posted = reps.select("rep", F.explode("first").alias("region"))
+    # Counts first: most shingles are in one set, and only what repeats is worth a fingerprint.
+    again = posted.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
+    posted = written(posted.join(again, "region", "left_semi").select("region", "rep"), "jaccard-posted")
     facts = posted.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(7, rep))").alias("y"))
-    once = facts.filter("n > 1").groupBy("n", "x", "y").agg(F.min("region").alias("region")).select("region")
+    once = facts.groupBy("n", "x", "y").agg(F.min("region").alias("region")).select("region")
     return posted.join(once, "region").select("region", "rep")
 
 
