@@ -34,7 +34,8 @@ RUN = 1 << 22
 PIVOTS, GROWTH, ROUNDS = 1, 4, 24
 #: Bits of the screen for documents whose sets are wanted again.
 SCREEN = 1 << 22
-CACHE = 1_000_000
+#: Words whose hashes a task remembers (about 50 MB).
+CACHE = 250_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
