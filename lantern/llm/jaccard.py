@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lantern.llm.common import bucketed, checkpoint, components, small_batches, written
+from lantern.llm.common import bucketed, checkpoint, components, fresh_dir, release, small_batches, written
 
 #: ASCII white space to spaces, A-Z to a-z; other bytes of UTF-8 stay.
 FOLDED = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -197,6 +197,24 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (1 - F.col("i") / union).alias("d"), (100 * F.col("i") >= percent * union).alias("linked"))
 
 
+def _distances(pairs: DataFrame, sets: DataFrame, stored: int, percent: int) -> DataFrame:
+    """All of _measured(), in pieces of about as many pairs as there are stored sets.
+
+    A pair moves a whole set, so the pairs of one exchange are bounded by the sets on disk, and each piece's exchange is
+    released before the next begins.
+    """
+    spark = pairs.sparkSession
+    pairs = written(pairs, "jaccard-pairs")
+    pieces = max(1, -(-pairs.count() // max(1, stored)))
+    root = fresh_dir(spark, "jaccard-distances")
+    for k in range(pieces):
+        some = pairs.filter(F.pmod(F.xxhash64("b", "a"), F.lit(pieces)) == k)
+        found = _measured(some, sets, percent)
+        found.write.mode("append").parquet(root)
+        release(spark)
+    return spark.read.schema(found.schema).parquet(root)
+
+
 def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
@@ -216,6 +234,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     region = written(_regions(reps), "jaccard-regions")
     wanted = written(reps.select("rep", "key", "least").join(region.select("rep").distinct(), "rep", "left_semi"), "jaccard-wanted")
     members = bucketed(_members(texts, size, wanted), "jaccard_members", "rep")
+    stored = members.count()
     radius = 1 - percent / 100
     links = None
     pivots = PIVOTS
@@ -230,7 +249,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
         chosen = checkpoint(chosen)
         met = region.join(chosen, "region").select("region", "rep", "pivot")
         pairs = met.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        dist = written(_measured(pairs, members, percent), "jaccard-distances")
+        dist = _distances(pairs, members, stored, percent)
         new = dist.filter("linked").select("a", "b")
         links = new if links is None else checkpoint(links.union(new))
         label = checkpoint(components(links))
