@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,6 +36,8 @@ PIVOTS, GROWTH, ROUNDS = 1, 4, 24
 SCREEN = 1 << 22
 #: Words whose hashes a task remembers (about 50 MB).
 CACHE = 250_000
+#: Two hashes of all columns of a row, which tell rows apart that share an id or have none.
+ROW = ("_row_a", "_row_b")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,9 +75,9 @@ class Shingler:
         return out[np.append(True, out[1:] != out[:-1])].view(np.int64)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *more)
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -132,7 +134,8 @@ def commonness(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, size: int, common: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, n, key (128-bit hash of the set; null for an empty one), first (the prefix) for every row."""
+    """doc_id, n, key (128-bit hash of the set; null for an empty one), first (the prefix) for every row, and ROW if texts has it."""
+    more = [c for c in ROW if c in texts.columns]
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +148,10 @@ def _prefixes(texts: DataFrame, size: int, common: np.ndarray, percent: int) ->
                 keep = len(x) - -(-percent * len(x) // 100) + 1 if len(x) else 0
                 # A set is sorted by hash, so a stable sort by count orders by (count, hash).
                 firsts.append(x[np.argsort(table[x & (COUNTERS - 1)], kind="stable")[:keep]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(firsts)], names=["doc_id", "n", "key", "first"])
+            cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(firsts), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "key", "first", *more])
 
-    return texts.mapInArrow(run, "doc_id long, n long, key binary, first array<long>")
+    return texts.select("doc_id", "text", *more).mapInArrow(run, ", ".join(["doc_id long, n long, key binary, first array<long>", *(f"{c} long" for c in more)]))
 
 
 def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -224,8 +228,17 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     share an id share its component; a null id gets links but is nobody's component id unless alone (then null).
     Equal sets are joined once, by a representative, so copies cost a row each.
     """
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
+    first, named = _parts(_texts(docs, id_col, text_col), size, percent)
+    out = first.select("doc_id", "n", "key").join(named.select("key", "component"), "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _parts(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The written rows of _prefixes(), and key, part, component for each set that is not empty.
+
+    part is the component itself: of several components without ids, or of one repeated id, each has its own.
+    """
+    spark = texts.sparkSession
     first = written(_prefixes(texts, size, commonness(texts, size), percent), "jaccard-docs")
     # A null id must not hide that a set has a document: it stands behind all others.
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")
@@ -262,9 +275,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     part = components(links)
     least = reps.select("rep", "key", "least").join(part.withColumnRenamed("id", "rep"), "rep", "left")
     smallest = least.groupBy(F.coalesce("component_id", "rep").alias("part")).agg(F.min("least").alias("component"))
-    named = least.withColumn("part", F.coalesce("component_id", "rep")).join(smallest, "part").select("key", "component")
-    out = first.select("doc_id", "n", "key").join(named, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return first, least.withColumn("part", F.coalesce("component_id", "rep")).join(smallest, "part").select("key", "part", "component")
 
 
 def _cells(region: DataFrame, chosen: DataFrame, met: DataFrame, dist: DataFrame, radius: float, label: DataFrame) -> DataFrame:
@@ -290,7 +301,30 @@ def _cells(region: DataFrame, chosen: DataFrame, met: DataFrame, dist: DataFrame
     return written(stays.join(mixed, "region").select("region", "rep"), "jaccard-cells")
 
 
+def _row_hashes(docs: DataFrame) -> list[Column]:
+    # Hashes pass over nulls, so which columns are null is hashed too.
+    cols = [c for name in docs.columns for c in (docs[name].isNull(), docs[name])]
+    return [F.xxhash64(F.lit(k), *cols).alias(name) for k, name in enumerate(ROW)]
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one of the smallest id; rows that repeat an id stay as they are."""
-    found = join(docs, size, percent).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(written(found, "jaccard-kept"), docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
+    """One row of each component, all columns: of the smallest id, null ids behind all others, then of the least row hash.
+
+    Rows of null, empty and blank texts are copies of nothing and all stay. Repeated ids count as rows of their own, so
+    copies under one id go too, and different texts under one id each have a component. Of rows equal in all columns,
+    one stays.
+    """
+    marked = docs.select("*", *_row_hashes(docs))
+    texts = _texts(docs, "doc_id", "text", *_row_hashes(docs))
+    first, named = _parts(texts, size, percent)
+    no_id = F.col("doc_id").isNull().alias("no")
+    rows = first.filter("n > 0").groupBy("key", "doc_id", *ROW).agg(F.count(F.lit(1)).alias("rows"))
+    best = rows.groupBy("key").agg(F.min(F.struct(no_id, "doc_id", *ROW, "rows")).alias("x"))
+    best = best.join(named, "key").groupBy("part").agg(F.min("x").alias("x"))
+    kept = best.select(*(f"x.{c}" for c in ROW), (F.col("x.rows") > 1).alias("tied"))
+    kept = written(kept.union(first.filter("n = 0").select(*ROW, F.lit(False)).distinct()), "jaccard-kept")
+    out = marked.join(kept.filter("not tied").select(*ROW), list(ROW), "left_semi")
+    tied = kept.filter("tied").select(*ROW)
+    if not tied.isEmpty():
+        out = out.unionByName(marked.join(tied, list(ROW), "left_semi").dropDuplicates(list(ROW)))
+    return out.select(*docs.columns)

@@ -172,6 +172,19 @@ def test_jaccard(spark, odd, empty):
     assert jaccard.join(empty).count() == 0 and jaccard.keep_one(docs).count() == len({c for _, c in _brute(texts, 5, 80).values()})
 
 
+def test_keep_one(spark, odd):
+    # Null ids: alone, and a group of nothing else; an id of two texts, one of them a near copy; empty texts that repeat.
+    rows = [(None, "alone here"), *[(None, " ".join(map(str, range(n)))) for n in (60, 61, 60)], (13, TEXT), (5, TEXT + " end"), (5, "another text of the same id"), (5, ""), (None, None)]
+    docs = odd.unionByName(spark.createDataFrame([(i, t, "en", "s", None, 0, "x") for i, t in rows], DOC))
+    kept = jaccard.keep_one(docs)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    copies = [x for x in got if x[1] and x[1].startswith("0 1 2")]
+    assert kept.columns == docs.columns and len(copies) == 1 and copies[0][0] is None
+    mail = odd.filter("doc_id = 8").first().text
+    want = [(1, TEXT), (4, None), (5, ""), (5, ""), (6, " \n\t"), (7, LONG), (8, mail), (9, None), (10, "hi"), (None, "alone here"), (5, rows[6][1]), (None, None), *copies]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))
