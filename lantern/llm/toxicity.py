@@ -36,7 +36,7 @@ CACHE = 400_000
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 
-#: Factor of the polynomial hash of an n-gram, and its powers for the places of a word.
+#: Factor of the polynomial hash of an n-gram, and its powers for the places of a word; longer words are cut into pieces.
 FACTOR, LONGEST = np.uint64(0x9E3779B97F4A7C15), 64
 POWERS = np.cumprod(np.append(np.uint64(1), np.full(LONGEST + 1, FACTOR)), dtype=np.uint64)
 
@@ -47,10 +47,11 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all n-grams of all words and of the words themselves, and the place in words that each is from."""
+    """The buckets of all n-grams of all words (LONGEST characters at most, as from words_of) and of the words themselves,
+    and the place in words that each is from."""
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    marked = [f"<{w[:LONGEST]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     length = np.array([len(w) for w in marked])
     start = np.cumsum(length) - length
@@ -68,7 +69,12 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """The words of a text; one of more than LONGEST characters as pieces, which overlap so that each n-gram is in one."""
+    words = WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    step = LONGEST - MAX_GRAM + 1
+    return [w[i : i + LONGEST] for w in words for i in range(0, max(1, len(w) - MAX_GRAM + 1), step)]
 
 
 @dataclass
@@ -203,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row, by its whole text alone.
+    """doc_id, held_out, score, predicted for every row, by its whole text alone, words of any length included.
 
     Null and empty texts get the score of the bias, below 0.5. Repeated and null ids are kept (a null id counts as
     not held out); other columns are left out.

@@ -79,6 +79,19 @@ def test_pii(odd, empty):
         pii.base_spans(n)
 
 
+def test_toxicity_long_words():
+    weight = np.zeros(toxicity.BUCKETS, np.float32)
+    weight[toxicity.grams(["nastyword"])[0]] = 50
+    m = toxicity.Model(weight, -4.0)
+    clean = "_".join(f"{i:04d}" for i in range(400))
+    for at in (0, 60, 64, 118, 121, 1000, len(clean)):
+        assert m.score(clean[:at] + "nastyword" + clean[at:]) > m.score(clean), at
+    for n in (1, 64, 65, 68, 124, 125, 300):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(word)
+        assert max(map(len, pieces)) <= toxicity.LONGEST and {word[i : i + k] for k in (3, 4, 5) for i in range(n - k + 1)} == {p[i : i + k] for p in pieces for k in (3, 4, 5) for i in range(len(p) - k + 1)}
+
+
 def test_toxicity(spark, odd, empty):
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
