@@ -1,7 +1,8 @@
 """PII: patterns propose spans, checksums confirm them, words nearby adjust a score.
 
 Base kinds are email, ip, card and phone, matched leftmost and without overlap in each kind. The score never
-removes a base span; iban spans, confirmed by mod-97, are added where the score reaches a threshold.
+removes a base span; iban spans, confirmed by mod-97 at any boundary of a run, are added where the score reaches a
+threshold.
 """
 
 from __future__ import annotations
@@ -23,7 +24,17 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Where an IBAN may start, and the longest run from there; added_spans() finds its end.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+        "HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 "
+        "QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: The score of a confirmed span by kind, what a context word adds, and how far it may stand away.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
@@ -84,12 +95,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _iban_end(text: str, start: int, stop: int) -> int:
+    """The end of the IBAN that starts at start, or 0: at its country's length, else at the end of the run; with no known
+    country, at any boundary, longest first."""
+    plain, ends = text[start:stop].replace(" ", ""), {}
+    n = 0
+    for i in range(start, stop):
+        n += text[i] != " "
+        if n >= 15 and text[i] != " " and not (text[i + 1 : i + 2].isascii() and text[i + 1 : i + 2].isalnum()):
+            ends[n] = i + 1
+    own = IBAN_LENGTHS.get(plain[:2])
+    longest = sorted(ends, reverse=True)
+    for n in [own, *longest[:1]] if own else longest:
+        if n in ends and mod97(plain[:n]):
+            return ends[n]
+    return 0
+
+
 def added_spans(text: str) -> list[tuple[int, int, int]]:
-    found = []
-    for m in IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain) and score(text, m.start(), m.end(), "iban") >= THRESHOLD:
-            found.append((m.start(), 4, m.end()))
+    found, at = [], 0
+    while m := IBAN.search(text, at):
+        end = _iban_end(text, *m.span())
+        if end and score(text, m.start(), end, "iban") >= THRESHOLD:
+            found.append((m.start(), 4, end))
+        at = end or m.start() + 1
     return found
 
 

@@ -79,6 +79,15 @@ def test_pii(odd, empty):
         pii.base_spans(n)
 
 
+def test_iban_ends():
+    for iban, after in (("DE89 3704 0044 0532 0130 00", " BIC COBADEFFXXX"), ("GB82 WEST 1234 5698 7654 32", " I paid"), ("DE89370400440532013000", " 2024"), ("QQ44 1234 5678 9012 345", " AB X")):
+        assert pii.masked_text(f"to {iban}{after}") == f"to [iban]{after}", iban
+    # A failed start does not hide what follows it, nor a confirmed one the next.
+    assert pii.masked_text("AB12 X DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 OK") == "AB12 X [iban] [iban] OK"
+    assert pii.added_spans("DE89 3704 0044 0532 0130 01 BIC") == [] and pii.added_spans("DE89370400440532013000a") == []
+    pii.added_spans("AB12 " * 20_000)
+
+
 def test_toxicity_long_words():
     weight = np.zeros(toxicity.BUCKETS, np.float32)
     weight[toxicity.grams(["nastyword"])[0]] = 50
