@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+import weakref
 from pathlib import PurePosixPath
 from urllib.parse import urlparse
 
@@ -72,16 +73,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = fresh_dir(spark, what)
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = (weakref.ref(out), path)
+    return out
 
 
-def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
-    """As written(), in buckets by key in the warehouse, which executors share too: joins on key need not move these rows."""
-    spark = df.sparkSession
-    name = f"lantern_{what}_{uuid.uuid4().hex}"
-    df.write.bucketBy(partitions(spark), key).sortBy(key).format("parquet").saveAsTable(name)
-    release(spark)
-    return spark.table(name)
+_folders: dict[int, tuple] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the folder of a result of written() that nothing will read again; other tables are left alone."""
+    seen, path = _folders.pop(id(df), (lambda: None, None))
+    if seen() is df:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Files:

@@ -1,17 +1,21 @@
 """N-gram Jaccard join: an exact metric-space join of shingle sets.
 
-Jaccard distance is a metric over finite sets, so the join runs in regions around pivots. The first pivots are single
-shingles: in an order common to all sets, rarest first, two sets within the radius share one of the first
-|x| - ceil(t |x|) + 1 shingles of each, so every set enters the regions of just these (a pivot far from nearly
-everything would leave one region of everything, as documents that share nothing are all at distance 1).
-Inside a region, documents serve as pivots: all members are measured against them exactly, the nearest pivot's cell
-is a member's home, and the triangle inequality says which other cells it enters too as a guest. Cells are regions
-again, with more pivots, until a region has one member or is known to be one component.
+Two metrics on finite sets serve: the size of the symmetric difference, and Jaccard distance. Documents that share
+nothing are all at Jaccard distance 1, so document pivots alone would leave one region of everything. Hence:
+
+1. The empty set is the first pivot. A set's distance from it is its size, so its Voronoi rings are bands of size; a set
+   enters a lower ring as a guest if the triangle inequality lets it link with a set there.
+2. In a ring whose links are T shingles apart at most, the universe of shingles is cut into more than T parts by hash.
+   Differences spoil one part each, so linked sets are equal in some part: its content is a pivot, and the sets at
+   distance 0 from it in that part are a region. How many such pivots a set must share with others, if it has a
+   link at all, follows from its size; sets that share fewer leave before any set is moved.
+3. Inside a region documents are pivots, as many as its size asks for: members are measured against them exactly, the
+   nearest pivot's cell is a member's home, and the triangle inequality says which other cells it enters too as a guest.
+   Cells are regions again, with more pivots, until a region has one member or is known to be one component.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,60 +23,159 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lantern.llm.common import bucketed, checkpoint, components, fresh_dir, release, small_batches, written
+from lantern.llm.common import checkpoint, components, discard, fresh_dir, partitions, release, small_batches, written
 
 #: ASCII white space to spaces, A-Z to a-z; other bytes of UTF-8 stay.
-FOLDED = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Counters of the table that says how common a shingle is (4 bytes each): its size is fixed, whatever the corpus.
-COUNTERS, CHUNK, FAN = 1 << 20, 1 << 14, 64
-#: Shingles that a task counts at once.
-RUN = 1 << 22
-#: Pivots of a region in the first round, and the factor by which they grow from round to round.
-PIVOTS, GROWTH, ROUNDS = 1, 4, 24
+FOLDED = np.array([32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Bytes that are hashed at once, about; a text goes whole, so a longer one takes more.
+CHUNK = 1 << 18
+#: The factor between the bounds of rings, and the spare parts of a ring as a share of the differences it allows.
+RING, SPARE = 1.6, 6
+#: Postings that a task sorts at once, and how many of one pivot it passes on in one piece.
+RUN, HOT = 1 << 21, 32
+#: Groups of pivots for each shuffle partition, and pieces that hot pivots are spread over.
+GROUPS, SALTS = 8, 4096
+#: The factor by which the pivots of a region grow from round to round.
+GROWTH, ROUNDS = 4, 24
 #: Bits of the screen for documents whose sets are wanted again.
 SCREEN = 1 << 22
-#: Words whose hashes a task remembers (about 50 MB).
-CACHE = 250_000
 #: Two hashes of all columns of a row, which tell rows apart that share an id or have none.
 ROW = ("_row_a", "_row_b")
 
+U = np.uint64
+ODD = U(0x9E3779B97F4A7C15)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
 
 class Shingler:
-    """Distinct 64-bit shingle hashes of texts, with a cache of word hashes."""
+    """Distinct 64-bit shingle hashes, sorted, of a column of texts.
+
+    Words are hashed all at once: a polynomial in the bytes' random numbers, summed along the column; a word's value is
+    the difference of two sums, times the inverse of the power at its start.
+    """
+
+    BYTE = _mix(np.arange(1, 257, dtype=U) * ODD)[FOLDED]
 
     def __init__(self, size: int):
-        self.size, self.words = size, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().translate(FOLDED).split(b" ")
-        if b"" in words:
-            words = [w for w in words if w]
-        if not words:
-            return np.zeros(0, np.int64)
-        if len(self.words) > CACHE:
-            self.words.clear()
-        known = self.words
-        found = list(map(known.get, words))
-        if None in found:
-            for i, v in enumerate(found):
-                if v is None:
-                    found[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        h = np.array(found, np.uint64)
-        k = min(self.size, len(h))
-        out = np.full(len(h) - k + 1, k, np.uint64)
+        self.size = size
+        self._grow(CHUNK)
+
+    def _grow(self, n: int) -> None:
+        inverse = U(pow(int(ODD), -1, 1 << 64))
+        self.up, self.down = (np.cumprod(np.append(U(1), np.full(n, f)), dtype=U) for f in (ODD, inverse))
+
+    def _chunk(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """The sets of texts that lie in data between the offsets at."""
+        if len(data) >= len(self.up):
+            self._grow(2 * len(data))
+        inside = FOLDED[data] != 32
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        begin, end = at[:-1][at[:-1] < len(data)], at[1:][at[1:] > 0] - 1
+        first[begin], last[end] = inside[begin], inside[end]
+        start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+        sums = np.zeros(len(data) + 1, U)
+        np.cumsum(self.BYTE[data] * self.up[: len(data)], out=sums[1:])
+        words = _mix((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(U))
+        k, n = self.size, len(words) - self.size + 1
+        hashes = np.full(max(n, 0), k, U)
         for i in range(k):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-        out = np.sort(out)
-        return out[np.append(True, out[1:] != out[:-1])].view(np.int64)
+            hashes = _mix(hashes * ODD + words[i : max(n, 0) + i])
+        bound, out = np.searchsorted(start, at), []
+        for a, z in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+            if z - a >= k:
+                x = np.sort(hashes[a : z - k + 1])
+                x = x[np.append(True, x[1:] != x[:-1])]
+            else:
+                x = np.full(int(z > a), z - a, U)
+                for j in range(a, z):
+                    x = _mix(x * ODD + words[j])
+            out.append(x)
+        return out
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return []
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        out, i = [], 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, side="right")) - 1)
+            out += self._chunk(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            i = j
+        return out
+
+
+class Rings:
+    """The rings around the empty set, and the parts of each, for links of percent or more."""
+
+    def __init__(self, percent: int):
+        self.percent, self.low = percent, [1]
+
+    def of(self, n: int) -> list[int]:
+        """The ring that n shingles are at home in, then those that they enter as guests."""
+        while self.low[-1] <= n:
+            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * RING)))
+        home = int(np.searchsorted(self.low, n, side="right")) - 1
+        out, r = [home], home - 1
+        while r >= 0 and self.percent * n <= 100 * (self.low[r + 1] - 1):
+            out.append(r)
+            r -= 1
+        return [r for r in out if self.apart(r)]
+
+    def apart(self, ring: int) -> int:
+        """How many shingles the sets of a link are apart at most, if the smaller is at home in the ring."""
+        return (100 - self.percent) * (self.low[ring + 1] - 1) // self.percent
+
+    def parts(self, ring: int) -> int:
+        t = self.apart(ring)
+        return t + 2 + t // SPARE
+
+    def apart_from(self, ring: int, n: int) -> int:
+        """The same for links of a set of n shingles in this ring."""
+        most = self.low[ring + 1] - 1
+        return (100 - self.percent) * (n + (100 * n // self.percent if n <= most else most)) // (100 + self.percent)
+
+
+def postings(sets: list[np.ndarray], keys: list[bytes | None], percent: int, rings: Rings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pivot, guest) postings, and for each guest, a set in a ring: its number, its set's place, the pivots to share.
+
+    Sets with so many empty parts that a link might share empty ones alone post their least shingles too: two such
+    sets that link share one of those.
+    """
+    guests = [(i, r) for i, x in enumerate(sets) if len(x) for r in rings.of(len(x))]
+    zero = np.zeros(0, U)
+    if not guests:
+        return zero, zero, zero, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.array([g[0] for g in guests])
+    ring, size = np.array([g[1] for g in guests], U), np.array([len(sets[g[0]]) for g in guests])
+    parts = np.array([rings.parts(r) for _, r in guests])
+    number = _mix(np.array([int.from_bytes(keys[i][:8], "little") for i, _ in guests], U) + ring * ODD)
+    flat, of = np.concatenate([sets[i] for i, _ in guests]), np.repeat(np.arange(len(guests)), size)
+    # Sets are sorted and parts are ranges of hashes, so each part is one stretch.
+    part = ((flat >> U(32)) * parts.astype(U)[of]) >> U(32)
+    slot = (np.cumsum(parts) - parts)[of] + part.astype(np.int64)
+    at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+    owner = of[at]
+    pivot = _mix(np.add.reduceat(_mix(flat + ring[of] * ODD), at) + part[at] * U(0xD6E8FEB86659FD93))
+    empty = parts - np.bincount(owner, minlength=len(guests))
+    share = parts - np.array([rings.apart_from(r, len(sets[i])) for i, r in guests]) - empty
+    pivots, owners = [pivot], [owner]
+    for g in np.flatnonzero(share <= 0):
+        x = sets[place[g]]
+        least = x[: len(x) - -(-percent * len(x) // 100) + 1]
+        pivots.append(_mix(least + ring[g] * ODD + U(1)))
+        owners.append(np.full(len(least), g))
+    return np.concatenate(pivots), number[np.concatenate(owners)], number, place, np.maximum(share, 1)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -80,116 +183,151 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *more)
 
 
-def _lists(sets: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+def _lists(sets: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
+    values = np.concatenate([*sets, np.zeros(0, sets[0].dtype if sets else np.int64)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(values.view(np.int64), kind))
+
+
+def _keys(sets: list[np.ndarray]) -> list[bytes | None]:
+    return [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+
+
+def _facts(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, key (128-bit hash of the set; null for an empty one), guests and the pivots each has to share, and ROW if texts has it."""
+    more = [c for c in ROW if c in texts.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, rings = Shingler(size), Rings(percent)
+        for batch in batches:
+            sets = make(batch.column(1))
+            keys = _keys(sets)
+            _, _, number, place, share = postings(sets, keys, percent, rings)
+            bound = np.searchsorted(place, np.arange(len(sets) + 1))
+            lists = [_lists([x[a:z] for a, z in zip(bound[:-1], bound[1:], strict=True)]) for x in (number, share)]
+            cols = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), *lists, *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "key", "guests", "shares", *more])
+
+    schema = ["doc_id long, n long, key binary, guests array<long>, shares array<long>", *(f"{c} long" for c in more)]
+    return texts.select("doc_id", "text", *more).mapInArrow(run, ", ".join(schema))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the runs of equal values of a sorted array."""
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(x)))
 
 
-def commonness(texts: DataFrame, size: int) -> np.ndarray:
-    """How often shingles repeat, added up over shingles with the same counter: over all documents.
+def _shared(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(pivot, guest) for all pivots of two guests at least.
 
-    Each task counts in runs of RUN shingles and leaves out those that it sees once: most shingles are in one document,
-    and would drown the others in the counters. Any order is exact; this one makes shared shingles come last. Tasks send
-    compressed counter chunks; groups of FAN are summed until there is one of each.
+    Postings are shuffled once, packed: a task sorts RUN of them and sends each group of pivots one piece. A pivot
+    of more than HOT guests in a run needs no company to be kept: its postings go to pieces of their own, and a mark
+    tells its group. So a group gets HOT postings of a pivot from a run at most, however common it is.
     """
+    groups = partitions(texts.sparkSession) * GROUPS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, make = np.zeros(COUNTERS, np.int64), Shingler(size)
-        held: list[np.ndarray] = []
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, rings, task = Shingler(size), Rings(percent), TaskContext.get().partitionId()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        sent = 0
 
-        def flush() -> None:
-            h = np.sort(np.concatenate([np.zeros(0, np.int64), *held]))
-            again = np.append(False, h[1:] == h[:-1])
-            at = np.flatnonzero(again | np.append(again[1:], False))
-            np.add.at(total, h[at] & (COUNTERS - 1), 1)
+        def flush() -> pa.RecordBatch:
+            nonlocal sent
+            pivot, guest = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             held.clear()
+            order = np.argsort(pivot)
+            pivot, guest = pivot[order], guest[order]
+            at, n = _runs(pivot)
+            plain, marks, rows = np.ones(len(pivot), bool), [], []
+            for a, k in zip(at[n > HOT].tolist(), n[n > HOT].tolist(), strict=True):
+                own = np.unique(guest[a : a + k])
+                plain[a + 1 : a + k] = False  # one posting stays, in case that copies are all there is
+                if len(own) > 1:
+                    plain[a] = False
+                    marks.append(a)
+                    rows.append((-1 - (task * 64 + sent) % SALTS, np.full(len(own), pivot[a]), own, b""))
+                    sent += 1
+            hot, pivot, guest = pivot[np.array(marks, int)], pivot[plain], guest[plain]
+            number = lambda x: (((x >> U(32)) * U(groups)) >> U(32)).astype(np.int64)
+            bound, marked = (np.searchsorted(number(x), np.arange(groups + 1)) for x in (pivot, hot))
+            for g in np.flatnonzero((bound[1:] > bound[:-1]) | (marked[1:] > marked[:-1])).tolist():
+                rows.append((g, pivot[bound[g] : bound[g + 1]], guest[bound[g] : bound[g + 1]], hot[marked[g] : marked[g + 1]].tobytes()))
+            cols = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2)), pa.array([r[3] for r in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["piece", "pivots", "guests", "hot"])
 
         for batch in batches:
-            held += map(make, batch.column(0).to_pylist())
-            if sum(map(len, held)) >= RUN:
-                flush()
+            sets = make(batch.column(0))
+            held.append(postings(sets, _keys(sets), percent, rings)[:2])
+            if sum(len(x[0]) for x in held) >= RUN:
+                yield flush()
         if held:
-            flush()
-        n = TaskContext.get().partitionId()
-        parts = [zlib.compress(total[i : i + CHUNK].tobytes(), 1) for i in range(0, COUNTERS, CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "part", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
-        for x in group.column("counts"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-        return pa.table({"chunk": group.column("chunk")[:1], "part": group.column("up")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    schema = "chunk int, part int, counts binary"
-    parts = texts.select("text").mapInArrow(count, schema)
-    n = texts.rdd.getNumPartitions()
-    while True:
-        parts = parts.withColumn("up", F.expr(f"part div {FAN}").cast("int")).groupBy("chunk", "up").applyInArrow(add, schema)
-        n = -(-n // FAN)
-        if n <= 1:
-            break
-    out = np.zeros(COUNTERS, np.int64)
-    for r in parts.collect():  # COUNTERS numbers, whatever the input
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.int64)
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+            yield flush()
+
+    def meet(group: pa.Table) -> pa.Table:
+        pivot, guest, hot = (np.frombuffer(b"".join(group.column(c).to_pylist()), U) for c in ("pivots", "guests", "hot"))
+        order = np.argsort(pivot)
+        pivot, guest = pivot[order], guest[order]
+        if group.column("piece")[0].as_py() >= 0:
+            at, n = _runs(pivot)
+            keep = np.repeat((n > 1) | np.isin(pivot[at], hot), n)
+            pivot, guest = pivot[keep], guest[keep]
+        order = np.lexsort((guest, pivot))
+        pivot, guest = pivot[order], guest[order]
+        new = np.append(True, (pivot[1:] != pivot[:-1]) | (guest[1:] != guest[:-1])) if len(pivot) else np.zeros(0, bool)
+        pivot, guest = pivot[new], guest[new]
+        if group.column("piece")[0].as_py() >= 0:
+            at, n = _runs(pivot)
+            keep = np.repeat((n > 1) | np.isin(pivot[at], hot), n)
+            pivot, guest = pivot[keep], guest[keep]
+        return pa.table({"region": pa.array(pivot.view(np.int64)), "guest": pa.array(guest.view(np.int64))})
+
+    sent = texts.select("text").mapInArrow(send, "piece int, pivots binary, guests binary, hot binary")
+    return sent.groupBy("piece").applyInArrow(meet, "region long, guest long")
 
 
-def _prefixes(texts: DataFrame, size: int, common: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, n, key (128-bit hash of the set; null for an empty one), first (the prefix) for every row, and ROW if texts has it."""
-    more = [c for c in ROW if c in texts.columns]
-    shared = texts.sparkSession.sparkContext.broadcast(common)
+def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """rep, n, shingles of the wanted representatives (rep, key, least), from their texts.
+
+    A bitmap of SCREEN bits of their ids, put together in the tasks, spares most other documents; the join is exact.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SCREEN))
+    at = wanted.select(bit("least").alias("bit"))
+    rows = at.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()  # SCREEN bits
+    screen = bytearray(SCREEN // 8 + 8192)
+    step = 4096  # bytes of Spark's bitmaps; buckets begin with 1 and a bucket's first number is a multiple of its bits plus 1
+    for r in rows:
+        screen[r.bucket * step : (r.bucket + 1) * step] = r.bits
+    shared = texts.sparkSession.sparkContext.broadcast(bytes(screen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, make = shared.value, Shingler(size)
+        bits, make = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little"), Shingler(size)
         for batch in batches:
-            keys, sizes, firsts = [], [], []
-            for x in map(make, batch.column(1).to_pylist()):
-                keys.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                sizes.append(len(x))
-                keep = len(x) - -(-percent * len(x) // 100) + 1 if len(x) else 0
-                # A set is sorted by hash, so a stable sort by count orders by (count, hash).
-                firsts.append(x[np.argsort(table[x & (COUNTERS - 1)], kind="stable")[:keep]])
-            cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(firsts), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "key", "first", *more])
+            batch = batch.filter(pa.array(bits[batch.column(1).to_numpy() * step * 8 + batch.column(2).to_numpy()] == 1))
+            sets = make(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in sets], pa.int64()), pa.array(_keys(sets), pa.binary()), _lists(sets)], names=["n", "key", "shingles"])
 
-    return texts.select("doc_id", "text", *more).mapInArrow(run, ", ".join(["doc_id long, n long, key binary, first array<long>", *(f"{c} long" for c in more)]))
+    known = texts.withColumn("bit", bit("doc_id"))
+    known = known.select("text", F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("place"))
+    screened = known.mapInArrow(run, "n long, key binary, shingles array<long>")
+    return screened.join(wanted.select("rep", "key"), "key").dropDuplicates(["key"]).select("rep", "n", "shingles")
 
 
-def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """rep, n, shingles of the wanted representatives (rep, key, least), from their texts.
+def _regions(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """region, rep: the members of the regions with two members at least; of equal regions, one.
 
-    A bitmap of SCREEN bits of their ids, whatever their number, spares most other documents; the join is exact.
+    Guests that share fewer pivots than a link would make them share are left out. Should two sets have a guest's number
+    in common, both are members: regions may be too large, never too small.
     """
-    bits = wanted.select(F.pmod(F.xxhash64("least"), F.lit(SCREEN)).cast("int").alias("bit")).distinct().toArrow()  # SCREEN rows at most
-    screen = np.zeros(SCREEN, bool)
-    screen[bits.column("bit").to_numpy()] = True
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(screen))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        screen, make = np.unpackbits(shared.value), Shingler(size)
-        for batch in batches:
-            batch = batch.filter(pa.array(screen[batch.column(2).to_numpy()] == 1))
-            sets = [make(t) for t in batch.column(1).to_pylist()]
-            keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(sets)], names=["doc_id", "n", "key", "shingles"])
-
-    screened = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SCREEN)).cast("int").alias("bit")).mapInArrow(run, "doc_id long, n long, key binary, shingles array<long>")
-    # Joined by representative alone, so that repeated rows are dropped, and buckets written, without moving sets again.
-    left, right = screened.withColumn("rep", F.xxhash64("key")).alias("x"), wanted.alias("w")
-    # The rest of the condition is written so that it is no join key: rows stay dealt by representative.
-    same = F.xxhash64("x.key", "x.doc_id").bitwiseXOR(F.xxhash64("w.key", "w.least")) == 0
-    on = (F.col("x.rep") == F.col("w.rep")) & same
-    return left.join(right, on).select("x.rep", "x.n", "x.shingles").dropDuplicates(["rep"])
-
-
-def _regions(reps: DataFrame) -> DataFrame:
-    """region, rep: the members of the shingle regions with two members at least; of equal regions, one."""
-    posted = reps.select("rep", F.explode("first").alias("region"))
-    # Counts first: most shingles are in one set, and only what repeats is worth a fingerprint.
-    again = posted.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
-    posted = written(posted.join(again, "region", "left_semi").select("region", "rep"), "jaccard-posted")
+    guests = reps.select("rep", F.explode(F.arrays_zip("guests", "shares")).alias("g")).select("rep", F.col("g.guests").alias("guest"), F.col("g.shares").alias("share"))
+    met = shared.groupBy("guest").agg(F.count(F.lit(1)).alias("met"))
+    alive = written(guests.join(met, "guest").filter("met >= share").select("guest", "rep"), "jaccard-alive")
+    posted = written(shared.join(alive, "guest").select("region", "rep").distinct(), "jaccard-posted")
+    discard(alive)
     facts = posted.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(7, rep))").alias("y"))
-    once = facts.groupBy("n", "x", "y").agg(F.min("region").alias("region")).select("region")
-    return posted.join(once, "region").select("region", "rep")
+    once = facts.filter("n > 1").groupBy("n", "x", "y").agg(F.min("region").alias("region")).select("region")
+    out = written(posted.join(once, "region").select("region", "rep"), "jaccard-regions")
+    discard(posted)
+    return out
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,21 +340,25 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _distances(pairs: DataFrame, sets: DataFrame, stored: int, percent: int) -> DataFrame:
-    """All of _measured(), in pieces of about as many pairs as there are stored sets.
+    """All of _measured(), written, in pieces of about twice as many pairs as there are stored sets.
 
     A pair moves a whole set, so the pairs of one exchange are bounded by the sets on disk, and each piece's exchange is
     released before the next begins.
     """
     spark = pairs.sparkSession
     pairs = written(pairs, "jaccard-pairs")
-    pieces = max(1, -(-pairs.count() // max(1, stored)))
-    root = fresh_dir(spark, "jaccard-distances")
-    for k in range(pieces):
-        some = pairs.filter(F.pmod(F.xxhash64("b", "a"), F.lit(pieces)) == k)
-        found = _measured(some, sets, percent)
-        found.write.mode("append").parquet(root)
-        release(spark)
-    return spark.read.schema(found.schema).parquet(root)
+    pieces = max(1, -(-pairs.count() // max(1, 2 * stored)))
+    if pieces == 1:
+        out = written(_measured(pairs, sets, percent), "jaccard-distances")
+    else:
+        root = fresh_dir(spark, "jaccard-distances")
+        for k in range(pieces):
+            found = _measured(pairs.filter(F.pmod(F.xxhash64("b", "a"), F.lit(pieces)) == k), sets, percent)
+            found.write.mode("append").parquet(root)
+            release(spark)
+        out = spark.read.schema(found.schema).parquet(root)
+    discard(pairs)
+    return out
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,49 +375,57 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _pivots(region: DataFrame, factor: int) -> DataFrame:
+    """region, pivot: one pivot for a region below 8 members, one more for each doubling, times factor; without ordering a region.
+
+    A region's members are dealt to as many slots, and each slot's least member is a pivot.
+    """
+    sizes = region.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
+    slots = F.greatest(F.lit(1), F.floor(F.log2("members")) - 1).cast("long") * factor
+    dealt = region.join(sizes, "region").withColumn("slot", F.pmod(F.xxhash64(F.lit(3), "rep"), slots))
+    return dealt.groupBy("region", "slot").agg(F.min("rep").alias("pivot")).select("region", "pivot")
+
+
 def _parts(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The written rows of _prefixes(), and key, part, component for each set that is not empty.
+    """The written rows of _facts(), and key, part, component for each set that is not empty.
 
     part is the component itself: of several components without ids, or of one repeated id, each has its own.
     """
-    spark = texts.sparkSession
-    first = written(_prefixes(texts, size, commonness(texts, size), percent), "jaccard-docs")
+    facts = written(_facts(texts, size, percent), "jaccard-docs")
     # A null id must not hide that a set has a document: it stands behind all others.
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")
-    reps = first.filter("n > 0").groupBy("key").agg(F.min(order)["doc_id"].alias("least"), F.first("first").alias("first"))
-    reps = written(reps.select(F.xxhash64("key").alias("rep"), "key", "least", "first"), "jaccard-reps")
-    region = written(_regions(reps), "jaccard-regions")
+    reps = facts.filter("n > 0").groupBy("key").agg(F.min(order)["doc_id"].alias("least"), F.first("guests").alias("guests"), F.first("shares").alias("shares"))
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "jaccard-reps")
+    shared = written(_shared(texts, size, percent), "jaccard-shared")
+    region = _regions(shared, reps)
+    discard(shared)
     wanted = written(reps.select("rep", "key", "least").join(region.select("rep").distinct(), "rep", "left_semi"), "jaccard-wanted")
-    members = bucketed(_members(texts, size, wanted), "jaccard_members", "rep")
+    members = written(_members(texts, size, wanted), "jaccard-members")
     stored = members.count()
-    radius = 1 - percent / 100
-    links = None
-    pivots = PIVOTS
+    links = label = None
+    factor = 1
     for _ in range(ROUNDS):
         if region.isEmpty():
             break
-        if pivots == 1:
-            chosen = region.groupBy("region").agg(F.min("rep").alias("pivot"))
-        else:
-            rank = F.row_number().over(W.partitionBy("region").orderBy("rep"))
-            chosen = region.withColumn("_rank", rank).filter(F.col("_rank") <= pivots).select("region", F.col("rep").alias("pivot"))
-        chosen = checkpoint(chosen)
+        chosen = written(_pivots(region, factor), "jaccard-pivots")
         met = region.join(chosen, "region").select("region", "rep", "pivot")
         pairs = met.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         dist = _distances(pairs, members, stored, percent)
         new = dist.filter("linked").select("a", "b")
-        links = new if links is None else checkpoint(links.union(new))
+        links = written(new if links is None else links.union(new), "jaccard-links")
         label = checkpoint(components(links))
-        region = _cells(region, chosen, met, dist, radius, label)
-        pivots *= GROWTH
+        old, region = region, _cells(region, chosen, met, dist, 1 - percent / 100, label)
+        for used in (old, chosen, dist):
+            discard(used)
+        factor *= GROWTH
     else:
         raise RuntimeError("regions were left over")
-    if links is None:
-        links = region.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    part = components(links)
-    least = reps.select("rep", "key", "least").join(part.withColumnRenamed("id", "rep"), "rep", "left")
+    discard(members)
+    if label is None:
+        label = reps.select(F.col("rep").alias("id"), F.col("rep").alias("component_id")).limit(0)
+    least = reps.select("rep", "key", "least").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     smallest = least.groupBy(F.coalesce("component_id", "rep").alias("part")).agg(F.min("least").alias("component"))
-    return first, least.withColumn("part", F.coalesce("component_id", "rep")).join(smallest, "part").select("key", "part", "component")
+    return facts, least.withColumn("part", F.coalesce("component_id", "rep")).join(smallest, "part").select("key", "part", "component")
 
 
 def _cells(region: DataFrame, chosen: DataFrame, met: DataFrame, dist: DataFrame, radius: float, label: DataFrame) -> DataFrame:
