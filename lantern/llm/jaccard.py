@@ -34,11 +34,11 @@ CHUNK = 1 << 18
 #: The factor between the bounds of rings, and the spare parts of a ring as a share of the differences it allows.
 RING, SPARE = 1.6, 6
 #: Postings that a task sorts at once, and how many of one pivot it passes on in one piece.
-RUN, HOT = 1 << 21, 32
+RUN, HOT = 1 << 19, 32
 #: Groups of pivots for each shuffle partition, and pieces that hot pivots are spread over.
-GROUPS, SALTS = 8, 4096
-#: The factor by which the pivots of a region grow from round to round.
-GROWTH, ROUNDS = 4, 24
+GROUPS, SALTS = 4, 4096
+#: The factor of the number of pivots in the first round, and how it grows from round to round.
+FIRST, GROWTH, ROUNDS = 2, 8, 16
 #: Bits of the screen for documents whose sets are wanted again.
 SCREEN = 1 << 22
 #: Two hashes of all columns of a row, which tell rows apart that share an id or have none.
@@ -323,13 +323,18 @@ def _regions(shared: DataFrame, reps: DataFrame) -> DataFrame:
     alive = written(guests.join(met, "guest").filter("met >= share").select("guest", "rep"), "jaccard-alive")
     posted = written(shared.join(alive, "guest").select("region", "rep").distinct(), "jaccard-posted")
     discard(alive)
-    facts = posted.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(7, rep))").alias("y"))
-    once = facts.filter("n > 1").groupBy("n", "x", "y").agg(F.min("region").alias("region")).select("region")
-    out = written(posted.join(once, "region").select("region", "rep"), "jaccard-regions")
+    out = written(_once(posted), "jaccard-regions")
     discard(posted)
     return out
 
 
+def _once(members: DataFrame) -> DataFrame:
+    """region, rep: of regions with the same members, one; regions of one member go."""
+    facts = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(7, rep))").alias("y"))
+    once = facts.filter("n > 1").groupBy("n", "x", "y").agg(F.min("region").alias("region")).select("region")
+    return members.join(once, "region").select("region", "rep")
+
+
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, d, linked of distinct pairs of representatives, from their whole sets."""
     one = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
@@ -340,14 +345,14 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _distances(pairs: DataFrame, sets: DataFrame, stored: int, percent: int) -> DataFrame:
-    """All of _measured(), written, in pieces of about twice as many pairs as there are stored sets.
+    """All of _measured(), written, in pieces of about four times as many pairs as there are stored sets.
 
     A pair moves a whole set, so the pairs of one exchange are bounded by the sets on disk, and each piece's exchange is
     released before the next begins.
     """
     spark = pairs.sparkSession
     pairs = written(pairs, "jaccard-pairs")
-    pieces = max(1, -(-pairs.count() // max(1, 2 * stored)))
+    pieces = max(1, -(-pairs.count() // max(1, 4 * stored)))
     if pieces == 1:
         out = written(_measured(pairs, sets, percent), "jaccard-distances")
     else:
@@ -403,7 +408,7 @@ def _parts(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     members = written(_members(texts, size, wanted), "jaccard-members")
     stored = members.count()
     links = label = None
-    factor = 1
+    factor = FIRST
     for _ in range(ROUNDS):
         if region.isEmpty():
             break
@@ -448,7 +453,10 @@ def _cells(region: DataFrame, chosen: DataFrame, met: DataFrame, dist: DataFrame
     stays = m.filter((F.col("home.pivot") == F.col("pivot")) | inside).select(F.xxhash64("region", "pivot").alias("region"), "rep")
     stays = stays.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("region", "rep", F.coalesce("component_id", "rep").alias("label"))
     mixed = stays.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("region")
-    return written(stays.join(mixed, "region").select("region", "rep"), "jaccard-cells")
+    cells = written(stays.join(mixed, "region").select("region", "rep"), "jaccard-cells")
+    out = written(_once(cells), "jaccard-regions")
+    discard(cells)
+    return out
 
 
 def _row_hashes(docs: DataFrame) -> list[Column]:
