@@ -13,8 +13,6 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZER_DIR = os.environ.get("LANTERN_TOKENIZERS", "/opt/tokenizers")
-
 #: Rows handed to Python at once; texts can be long, so far fewer than Spark's 10,000.
 ARROW_ROWS = 512
 
@@ -24,7 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer_path(name: str) -> str:
-    return os.path.join(TOKENIZER_DIR, name)
+    """A vocabulary file: in the folder that LANTERN_TOKENIZERS names, or else where public_tokenizers has it."""
+    if folder := os.environ.get("LANTERN_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df has it, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -38,9 +52,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), an own one."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, one of this machine if Spark runs on it alone."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         set_to = f"file://{tempfile.mkdtemp(prefix='lantern-')}"
         spark.conf.set("spark.checkpoint.dir", set_to)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

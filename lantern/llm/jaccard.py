@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import checkpoint, components, discard, fresh_dir, partitions, release, small_batches, written
+from lantern.llm.common import checkpoint, components, discard, free_names, fresh_dir, partitions, release, small_batches, written
 
 #: ASCII white space to spaces, A-Z to a-z; other bytes of UTF-8 stay.
 FOLDED = np.array([32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -459,10 +459,10 @@ def _cells(region: DataFrame, chosen: DataFrame, met: DataFrame, dist: DataFrame
     return out
 
 
-def _row_hashes(docs: DataFrame) -> list[Column]:
+def _row_hashes(docs: DataFrame, names: list[str] | tuple[str, ...] = ROW) -> list[Column]:
     # Hashes pass over nulls, so which columns are null is hashed too.
     cols = [c for name in docs.columns for c in (docs[name].isNull(), docs[name])]
-    return [F.xxhash64(F.lit(k), *cols).alias(name) for k, name in enumerate(ROW)]
+    return [F.xxhash64(F.lit(k), *cols).alias(name) for k, name in enumerate(names)]
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -470,9 +470,10 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Rows of null, empty and blank texts are copies of nothing and all stay. Repeated ids count as rows of their own, so
     copies under one id go too, and different texts under one id each have a component. Of rows equal in all columns,
-    one stays.
+    one stays. Texts are read whole; columns may have any names; an empty table gives an empty one.
     """
-    marked = docs.select("*", *_row_hashes(docs))
+    own = free_names(docs, *ROW)
+    marked = docs.select("*", *_row_hashes(docs, own))
     texts = _texts(docs, "doc_id", "text", *_row_hashes(docs))
     first, named = _parts(texts, size, percent)
     no_id = F.col("doc_id").isNull().alias("no")
@@ -481,8 +482,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     best = best.join(named, "key").groupBy("part").agg(F.min("x").alias("x"))
     kept = best.select(*(f"x.{c}" for c in ROW), (F.col("x.rows") > 1).alias("tied"))
     kept = written(kept.union(first.filter("n = 0").select(*ROW, F.lit(False)).distinct()), "jaccard-kept")
-    out = marked.join(kept.filter("not tied").select(*ROW), list(ROW), "left_semi")
-    tied = kept.filter("tied").select(*ROW)
+    named = [F.col(c).alias(n) for c, n in zip(ROW, own, strict=True)]
+    out = marked.join(kept.filter("not tied").select(*named), own, "left_semi")
+    tied = kept.filter("tied").select(*named)
     if not tied.isEmpty():
-        out = out.unionByName(marked.join(tied, list(ROW), "left_semi").dropDuplicates(list(ROW)))
+        out = out.unionByName(marked.join(tied, own, "left_semi").dropDuplicates(own))
     return out.select(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lantern.llm.common import checkpoint, running_totals, written
+from lantern.llm.common import checkpoint, free_names, running_totals, written
 
 LEVELS = ("domain", "language", "source")
 #: The tables of weights; what is not named has weight 1.
@@ -132,15 +132,20 @@ def mix(docs: DataFrame, wanted: int = WANTED, epochs: int = EPOCHS) -> DataFram
 
 
 def select(docs: DataFrame, wanted: int, epochs: int = 1) -> DataFrame:
-    """The rows of docs that the mixture takes, all columns, repeated as often as it takes them."""
+    """The rows of docs that the mixture takes, all columns, repeated as often as it takes them.
+
+    Null texts and levels, repeated rows and documents without tokens count as in mix(); columns may have any names;
+    an empty table gives an empty one.
+    """
     narrow = written(narrowed(docs), "mix")
     cut = cuts(narrow, wanted, epochs)
-    renamed = cut.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], F.col("whole").alias("_whole"), F.col("last_key").alias("_last"))
+    *level, whole, last, n = free_names(docs, *(f"_{c}" for c in LEVELS), "_whole", "_last", "_n")
+    renamed = cut.select(*[F.col(c).alias(x) for c, x in zip((*LEVELS, "whole", "last_key"), (*level, whole, last), strict=True)])
     if cut.count() <= BROADCAST_LEAVES:
         renamed = F.broadcast(renamed)
-    on = [domain_of(docs["source"]).eqNullSafe(F.col("_domain")), docs["lang"].eqNullSafe(F.col("_language")), docs["source"].eqNullSafe(F.col("_source"))]
-    n = F.col("_whole") + F.coalesce(_order(docs["doc_id"].cast("long"), F.col("_whole") + 1) <= F.col("_last"), F.lit(False)).cast("long")
-    taken = docs.join(renamed, on).withColumn("_n", n).filter("_n > 0")
+    on = [c.eqNullSafe(renamed[x]) for c, x in zip((domain_of(docs["source"]), docs["lang"], docs["source"]), level, strict=True)]
+    part = F.coalesce(_order(docs["doc_id"].cast("long"), F.col(whole) + 1) <= F.col(last), F.lit(False)).cast("long")
+    taken = docs.join(renamed, on).withColumn(n, F.col(whole) + part).filter(F.col(n) > 0)
     if epochs > 1:
-        taken = taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    return taken.select(*[docs[c] for c in docs.columns])
+        taken = taken.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    return taken.select(*docs.columns)

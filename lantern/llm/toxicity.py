@@ -23,8 +23,8 @@ WORD = re.compile(r"\w+")
 MIN_GRAM, MAX_GRAM, BUCKETS, WIDTH = 3, 5, 1 << 17, 4
 #: Words in a window; the windows of a document do not overlap.
 WINDOW = 32
-#: The sample that is fitted: so many toxic and so many clean labelled documents at most, of least hash, and so
-#: many characters of each. Scoring reads whole texts.
+#: The sample that is fitted: so many toxic and so many clean labelled documents at most, of least hash; of a text with more
+#: characters than this, a window that begins anywhere in it, as a hash says. Scoring reads whole texts.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2_000, 3_500, 12_000
 #: Adam: rounds on all windows and in all, first step (it falls to 0), and the ridge (shared out over the
 #: documents) that keeps down what only a few of them show.
@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     some = [known.filter(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     sample = F.broadcast(some[0].union(some[1]))  # TRAIN_TOXIC + TRAIN_CLEAN rows at most
-    texts = docs.select(docs[id_col].cast("long").alias("_id"), F.substring(docs[text_col], 1, TRAIN_CHARS).alias("_text"))
+    begin = 1 + F.pmod(F.xxhash64(docs[id_col].cast("long")), F.greatest(F.char_length(docs[text_col]) - TRAIN_CHARS, F.lit(0)) + 1)
+    texts = docs.select(docs[id_col].cast("long").alias("_id"), F.substring(docs[text_col], begin.cast("int"), F.lit(TRAIN_CHARS)).alias("_text"))
     rows = texts.join(sample, "_id").groupBy("_id").agg(F.max(F.struct("_toxic", "_text")).alias("x")).select("_id", "x.*").collect()
     rows.sort(key=lambda r: r._id)
     return fit([r._text for r in rows], [r._toxic for r in rows])
@@ -230,7 +231,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that score below 0.5."""
+    """The rows of docs, all columns whatever their names, that score below 0.5.
+
+    Null and empty texts, and rows with null ids, are scored like any other and so stay; rows that repeat stay or go
+    together; texts are read whole; an empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
