@@ -9,9 +9,13 @@ nothing are all at Jaccard distance 1, so document pivots alone would leave one
    Differences spoil one part each, so linked sets are equal in some part: its content is a pivot, and the sets at
    distance 0 from it in that part are a region. How many such pivots a set must share with others, if it has a
    link at all, follows from its size; sets that share fewer leave before any set is moved.
-3. Inside a region documents are pivots, as many as its size asks for: members are measured against them exactly, the
-   nearest pivot's cell is a member's home, and the triangle inequality says which other cells it enters too as a guest.
-   Cells are regions again, with more pivots, until a region has one member or is known to be one component.
+3. Inside a region documents are pivots, as many as its size asks for: members are measured against them exactly. The
+   nearest of all pivots that a member has met, in whichever region, is its home; a cell has those at home with a pivot,
+   and as guests all who share a region with one of them, where the triangle inequality does not rule out a link. So the
+   many regions that a group of near copies shares become a cell or two.
+4. Cells are regions again, with pivots anew, until they are known to be one component, or fit a task: there members
+   are pivots in turn, each for all members of other components. A cell that pivots don't split any more goes to tasks in
+   blocks, each with each.
 """
 
 from __future__ import annotations
@@ -37,8 +41,8 @@ RING, SPARE = 1.6, 6
 RUN, HOT = 1 << 19, 32
 #: Groups of pivots for each shuffle partition, and pieces that hot pivots are spread over.
 GROUPS, SALTS = 4, 4096
-#: The factor of the number of pivots in the first round, and how it grows from round to round.
-FIRST, GROWTH, ROUNDS = 2, 8, 16
+#: Members that a pivot of a region is there for, rounds of cells, and what a block of a cell holds: members, and shingles.
+PIVOT_FOR, ROUNDS, BLOCK, BLOCK_SHINGLES = 512, 3, 2048, 1 << 21
 #: Bits of the screen for documents whose sets are wanted again.
 SCREEN = 1 << 22
 #: Two hashes of all columns of a row, which tell rows apart that share an id or have none.
@@ -173,7 +177,7 @@ def postings(sets: list[np.ndarray], keys: list[bytes | None], percent: int, rin
     for g in np.flatnonzero(share <= 0):
         x = sets[place[g]]
         least = x[: len(x) - -(-percent * len(x) // 100) + 1]
-        pivots.append(_mix(least + ring[g] * ODD + U(1)))
+        pivots.append(_mix(least + ring[g : g + 1] * ODD + U(1)))
         owners.append(np.full(len(least), g))
     return np.concatenate(pivots), number[np.concatenate(owners)], number, place, np.maximum(share, 1)
 
@@ -286,7 +290,7 @@ def _shared(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """rep, n, shingles of the wanted representatives (rep, key, least), from their texts.
+    """rep, n, shingles (sorted, packed) of the wanted representatives (rep, key, least), from their texts.
 
     A bitmap of SCREEN bits of their ids, put together in the tasks, spares most other documents; the join is exact.
     """
@@ -304,11 +308,11 @@ def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch.column(1).to_numpy() * step * 8 + batch.column(2).to_numpy()] == 1))
             sets = make(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in sets], pa.int64()), pa.array(_keys(sets), pa.binary()), _lists(sets)], names=["n", "key", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in sets], pa.int64()), pa.array(_keys(sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["n", "key", "shingles"])
 
     known = texts.withColumn("bit", bit("doc_id"))
     known = known.select("text", F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("place"))
-    screened = known.mapInArrow(run, "n long, key binary, shingles array<long>")
+    screened = known.mapInArrow(run, "n long, key binary, shingles binary")
     return screened.join(wanted.select("rep", "key"), "key").dropDuplicates(["key"]).select("rep", "n", "shingles")
 
 
@@ -337,11 +341,19 @@ def _once(members: DataFrame) -> DataFrame:
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, d, linked of distinct pairs of representatives, from their whole sets."""
-    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
-    union = F.col("na") + F.col("nb") - F.col("i")
-    return both.select("a", "b", (1 - F.col("i") / union).alias("d"), (100 * F.col("i") >= percent * union).alias("linked"))
+    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, u = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
+                i[k] = len(np.intersect1d(x, y, assume_unique=True))
+                u[k] = len(x) + len(y) - i[k]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(1 - i / u), pa.array(100 * i >= percent * u)], names=["a", "b", "d", "linked"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d double, linked boolean")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame, stored: int, percent: int) -> DataFrame:
@@ -380,13 +392,13 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _pivots(region: DataFrame, factor: int) -> DataFrame:
-    """region, pivot: one pivot for a region below 8 members, one more for each doubling, times factor; without ordering a region.
+def _pivots(region: DataFrame) -> DataFrame:
+    """region, pivot: a pivot, and one more for each PIVOT_FOR members; without ordering a region.
 
     A region's members are dealt to as many slots, and each slot's least member is a pivot.
     """
     sizes = region.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
-    slots = F.greatest(F.lit(1), F.floor(F.log2("members")) - 1).cast("long") * factor
+    slots = 1 + F.floor(F.col("members") / PIVOT_FOR)
     dealt = region.join(sizes, "region").withColumn("slot", F.pmod(F.xxhash64(F.lit(3), "rep"), slots))
     return dealt.groupBy("region", "slot").agg(F.min("rep").alias("pivot")).select("region", "pivot")
 
@@ -407,58 +419,116 @@ def _parts(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     wanted = written(reps.select("rep", "key", "least").join(region.select("rep").distinct(), "rep", "left_semi"), "jaccard-wanted")
     members = written(_members(texts, size, wanted), "jaccard-members")
     stored = members.count()
-    links = label = None
-    factor = FIRST
-    for _ in range(ROUNDS):
-        if region.isEmpty():
+    links, label, region = _split(region, members, stored, percent, None)
+    for _ in range(ROUNDS - 1):
+        # Only cells that no task holds are split further, and only as long as pivots do split them.
+        sizes = region.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
+        large = written(region.join(sizes.filter(F.col("members") > BLOCK).select("region"), "region"), "jaccard-large")
+        n = large.count()
+        if not n:
+            break
+        links, label, cells = _split(large, members, stored, percent, links)
+        if cells.count() > 2 * n:
             break
-        chosen = written(_pivots(region, factor), "jaccard-pivots")
-        met = region.join(chosen, "region").select("region", "rep", "pivot")
-        pairs = met.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        dist = _distances(pairs, members, stored, percent)
-        new = dist.filter("linked").select("a", "b")
-        links = written(new if links is None else links.union(new), "jaccard-links")
-        label = checkpoint(components(links))
-        old, region = region, _cells(region, chosen, met, dist, 1 - percent / 100, label)
-        for used in (old, chosen, dist):
+        rest = region.join(large.select("region").distinct(), "region", "left_anti").select("region", "rep")
+        old, region = region, written(rest.union(cells.select(F.xxhash64(F.lit(n), "region").alias("region"), "rep")), "jaccard-regions")
+        for used in (old, large, cells):
             discard(used)
-        factor *= GROWTH
-    else:
-        raise RuntimeError("regions were left over")
+    links = written(links.union(_in_tasks(region, members, label, percent)), "jaccard-links")
     discard(members)
-    if label is None:
-        label = reps.select(F.col("rep").alias("id"), F.col("rep").alias("component_id")).limit(0)
-    least = reps.select("rep", "key", "least").join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    part = components(links)
+    least = reps.select("rep", "key", "least").join(part.withColumnRenamed("id", "rep"), "rep", "left")
     smallest = least.groupBy(F.coalesce("component_id", "rep").alias("part")).agg(F.min("least").alias("component"))
     return facts, least.withColumn("part", F.coalesce("component_id", "rep")).join(smallest, "part").select("key", "part", "component")
 
 
+def _split(region: DataFrame, members: DataFrame, stored: int, percent: int, links: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Measures the members of regions against their pivots: all links so far, the components they make, and the cells."""
+    chosen = written(_pivots(region), "jaccard-pivots")
+    met = region.join(chosen, "region").select("region", "rep", "pivot").filter("rep <> pivot")
+    pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    dist = _distances(pairs, members, stored, percent)
+    new = dist.filter("linked").select("a", "b")
+    links = written(new if links is None else links.union(new), "jaccard-links")
+    label = written(components(links), "jaccard-labels")
+    cells = _cells(region, chosen, met, dist, 1 - percent / 100, label)
+    for used in (chosen, dist):
+        discard(used)
+    return links, label, cells
+
+
 def _cells(region: DataFrame, chosen: DataFrame, met: DataFrame, dist: DataFrame, radius: float, label: DataFrame) -> DataFrame:
-    """The regions of the next round: Voronoi cells of the pivots with their guests, without the pivots themselves.
+    """The cells of the pivots: who is at home there, and guests, but for pairs that were measured.
 
-    A member whose home is pivot h enters the cell of c too if d(x, c) <= d(x, h) + 2 r and d(x, c) is within r of
-    the distances that members at home in c have from c: else no such member can be within r of it. Regions of one
-    component need no further work.
+    Two members of a region that are no pivots of it meet in the home of either. A guest of a pivot it was measured
+    against comes in if its distance is within the radius of the distances that members at home have: else
+    none of them can be within the radius of it. Cells of one component need no further work.
     """
     ends = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")]
-    m = met.filter("rep <> pivot").select("region", "rep", "pivot", *ends).join(dist, ["a", "b"]).select("region", "rep", "pivot", "d")
-    m = m.join(chosen.select("region", F.col("pivot").alias("rep")), ["region", "rep"], "left_anti")
-    best = m.groupBy("region", "rep").agg(F.min(F.struct("d", "pivot")).alias("home"))
-    m = m.join(best, ["region", "rep"])
-    at_home = m.filter(F.col("home.pivot") == F.col("pivot"))
-    reach = at_home.groupBy("region", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    m = m.join(reach, ["region", "pivot"])
+    near = met.select("rep", "pivot", *ends).distinct().join(dist, ["a", "b"]).select("rep", "pivot", "d")
+    near = written(near, "jaccard-near")
+    home = near.groupBy("rep").agg(F.min(F.struct("d", "pivot")).alias("x")).select("rep", F.col("x.pivot").alias("cell"), F.col("x.d").alias("d"))
+    home = written(home, "jaccard-homes")
+    reach = home.groupBy("cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    inside = region.join(chosen.select("region", F.col("pivot").alias("rep")), ["region", "rep"], "left_anti")
+    homes = inside.join(home, "rep").select("region", "cell").distinct()
+    enter = inside.join(homes, "region").select("rep", "cell").distinct().filter("rep <> cell")
+    enter = enter.join(near.select("rep", F.col("pivot").alias("cell"), "d"), ["rep", "cell"], "left").join(reach, "cell")
     eps = 1e-9
-    inside = (F.col("d") <= F.col("home.d") + 2 * radius + eps) & (F.col("d") >= F.col("lo") - radius - eps) & (F.col("d") <= F.col("hi") + radius + eps)
-    stays = m.filter((F.col("home.pivot") == F.col("pivot")) | inside).select(F.xxhash64("region", "pivot").alias("region"), "rep")
-    stays = stays.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("region", "rep", F.coalesce("component_id", "rep").alias("label"))
+    stays = enter.filter(F.col("d").isNull() | F.col("d").between(F.col("lo") - radius - eps, F.col("hi") + radius + eps))
+    stays = stays.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
+    stays = written(stays.select(F.col("cell").alias("region"), "rep", F.coalesce("component_id", "rep").alias("label")), "jaccard-cells")
     mixed = stays.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("region")
-    cells = written(stays.join(mixed, "region").select("region", "rep"), "jaccard-cells")
-    out = written(_once(cells), "jaccard-regions")
-    discard(cells)
+    out = written(_once(stays.join(mixed, "region").select("region", "rep")), "jaccard-regions")
+    for used in (near, home, stays):
+        discard(used)
     return out
 
 
+def _links_in(percent: int):
+    """Links between the members of side 0 and those of side 1, or among side 0 where there is no side 1: enough to join
+    what they join, one after another as pivot for all members of other components."""
+
+    def links(group: pa.Table) -> pa.Table:
+        rep, label, side = (group.column(c).to_numpy() for c in ("rep", "label", "side"))
+        sets = [np.frombuffer(x.as_buffer(), U) for x in group.column("shingles")]
+        n = np.array([len(x) for x in sets])
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.cumsum(n) - n
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        label, seen, found = label.copy(), np.zeros(len(known), bool), []
+        for k, i in enumerate(left.tolist()):
+            rest = right if right is not left else right[k + 1 :]
+            rest = rest[(label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
+            if not len(rest):
+                continue
+            seen[flat[at[i] : at[i] + n[i]]] = True
+            size = n[rest]
+            begin = np.cumsum(size) - size
+            both = np.add.reduceat(seen[flat[np.repeat(at[rest] - begin, size) + np.arange(size.sum())]].astype(np.int64), begin)
+            seen[flat[at[i] : at[i] + n[i]]] = False
+            for j in rest[100 * both >= percent * (size + n[i] - both)].tolist():
+                if label[j] != label[i]:
+                    found.append((rep[i], rep[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return links
+
+
+def _in_tasks(region: DataFrame, members: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that are left in regions, each joined in one task, or in blocks of bounded size, each block with each."""
+    own = label.select(F.col("id").alias("rep"), "component_id")
+    held = region.join(members.select("rep", "n"), "rep").join(own, "rep", "left").select("region", "rep", "n", F.coalesce("component_id", "rep").alias("label"))
+    sizes = held.groupBy("region").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    held = held.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("blocks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side")
+    held = held.select("rep", "label", "region", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), side)
+    return held.join(members.select("rep", "shingles"), "rep").groupBy("region", "b0", "b1").applyInArrow(_links_in(percent), "a long, b long")
+
+
 def _row_hashes(docs: DataFrame, names: list[str] | tuple[str, ...] = ROW) -> list[Column]:
     # Hashes pass over nulls, so which columns are null is hashed too.
     cols = [c for name in docs.columns for c in (docs[name].isNull(), docs[name])]
