@@ -7,9 +7,12 @@ import os
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,32 +176,67 @@ def running_totals(df: DataFrame, keys: list[str], bucket: str, order: list[Colu
     return joined.select(*kept, (F.col("_before") + F.col("_offset")).alias(out), *([F.col(total_out)] if total_out else []))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
+#: Edges of a graph that one task takes (16 bytes each).
+TASK_EDGES = 1 << 20
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """id, component_id of a graph of TASK_EDGES edges (a, b) at most: roots by pointer jumping, the smallest id a root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not held:
+            return
+        ids, place = np.unique(np.concatenate([x[k] for k in (0, 1) for x in held]), return_inverse=True)
+        u, v = np.split(place, 2)
+        root = np.arange(len(ids))
+        while True:
+            x, y = root[u], root[v]
+            open_ = x != y
+            if not open_.any():
+                break
+            u, v, x, y = u[open_], v[open_], x[open_], y[open_]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != root[root]).any():
+                root = root[root]
+        for i in range(0, len(ids), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 65_536]), pa.array(ids[root[i : i + 65_536]])], names=["id", "component_id"])
+
+    return edges.coalesce(1).mapInArrow(run, "id long, component_id long")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64, task_edges: int = TASK_EDGES) -> DataFrame:
     """Connected components of a graph: (id, component_id) for each id in an edge; component_id is the smallest id.
 
-    Random-mate contraction: in every round each node joins the neighbour with the least salted hash, edges
-    are renamed to the chosen nodes and loops dropped, so that the edges left shrink by a constant factor.
-    Only mappings are joined back, and no component is ever gathered in a task or on the driver. Null ends
-    are ignored; an empty table of edges gives an empty result.
+    While there are more than task_edges edges, random-mate contraction: in every round each node joins the neighbour with
+    the least salted hash, edges are renamed to the chosen nodes and loops dropped, so that the edges left shrink by a
+    constant factor. What is left, as counted, is settled in one task. Only mappings are joined back, and nothing
+    goes to the driver. Null ends are ignored; an empty table of edges gives an empty result.
     """
-    e = checkpoint(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").distinct())
-    empty = e.select(F.col("a").alias("id"), F.col("a").alias("component_id")).limit(0)
-    if e.isEmpty():
-        return empty
-    nodes = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
-    label = checkpoint(nodes.select("id", F.col("id").alias("label")))
+    e = written(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").distinct(), "edges")
+    label = None
     for k in range(max_rounds):
+        if e.count() <= task_edges:
+            break
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
         salted = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), c.alias("v"))  # noqa: E731, B023
         step = both.groupBy("a").agg(F.min(salted(F.col("b"))).alias("m")).select("a", F.least(F.col("m"), salted(F.col("a")))["v"].alias("to"))
-        step = checkpoint(step)
+        step = written(step, "mates")
         to_a, to_b = step.select("a", F.col("to").alias("na")), step.select(F.col("a").alias("b"), F.col("to").alias("nb"))
-        e = e.join(to_a, "a").join(to_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).filter("a <> b")
-        e = checkpoint(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        label = checkpoint(label.join(step.select(F.col("a").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
-        if e.isEmpty():
-            break
+        old, e = e, e.join(to_a, "a").join(to_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).filter("a <> b")
+        e = written(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        if label is None:
+            label = written(step.select(F.col("a").alias("id"), F.col("to").alias("label")), "labels")
+        else:
+            was, label = label, written(label.join(step.select(F.col("a").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+            discard(was)
+        discard(old)
+        discard(step)
     else:
         raise RuntimeError("the components did not settle")
+    part = _in_one_task(e)
+    if label is None:
+        return part
+    label = label.join(part.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("component_id", "label").alias("label"))
     least = label.groupBy("label").agg(F.min("id").alias("component_id"))
     return label.join(least, "label").select("id", "component_id")

@@ -41,8 +41,8 @@ RING, SPARE = 1.6, 6
 RUN, HOT = 1 << 19, 32
 #: Groups of pivots for each shuffle partition, and pieces that hot pivots are spread over.
 GROUPS, SALTS = 4, 4096
-#: Members that a pivot of a region is there for, rounds of cells, and what a block of a cell holds: members, and shingles.
-PIVOT_FOR, ROUNDS, BLOCK, BLOCK_SHINGLES = 512, 3, 2048, 1 << 21
+#: Rounds of cells, and what a task holds of a cell, and a pivot of a region is there for: members, and their shingles.
+ROUNDS, BLOCK, BLOCK_SHINGLES = 3, 2048, 1 << 21
 #: Bits of the screen for documents whose sets are wanted again.
 SCREEN = 1 << 22
 #: Two hashes of all columns of a row, which tell rows apart that share an id or have none.
@@ -393,12 +393,12 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
 
 
 def _pivots(region: DataFrame) -> DataFrame:
-    """region, pivot: a pivot, and one more for each PIVOT_FOR members; without ordering a region.
+    """region, pivot: a pivot, and one more for each BLOCK members, so that cells may fit a task; without ordering a region.
 
     A region's members are dealt to as many slots, and each slot's least member is a pivot.
     """
     sizes = region.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
-    slots = 1 + F.floor(F.col("members") / PIVOT_FOR)
+    slots = 1 + F.floor(F.col("members") / BLOCK)
     dealt = region.join(sizes, "region").withColumn("slot", F.pmod(F.xxhash64(F.lit(3), "rep"), slots))
     return dealt.groupBy("region", "slot").agg(F.min("rep").alias("pivot")).select("region", "pivot")
 

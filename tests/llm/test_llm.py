@@ -187,6 +187,11 @@ def test_jaccard(spark, odd, empty):
             for _ in range(1 + g % 4):
                 w[rng.integers(70)] = str(rng.integers(10_000, 20_000))
     docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    # A group larger than a piece of postings may be, of every distance from its origin, and one sharing its least words.
+    w = rng.integers(0, 9999, 60).astype(str).tolist()
+    for j in range(90):
+        texts[2000 + j] = " ".join(str(rng.integers(20_000, 40_000)) if rng.random() < 0.004 * j else x for x in w)
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     for size, percent in ((4, 85), (5, 80), (2, 60)):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, size, percent).collect()} == _brute(texts, size, percent)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(odd, 4, 85).collect()}
@@ -246,8 +251,10 @@ def test_sharding(odd, empty, spark, pairs):
 
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (None, 5), (7, 7)], "a long, b long")
-    got = {r.id: r.component_id for r in components(e).collect()}
-    assert all(got[i] == 1 for i in range(1, 61)) and got[101] == 100 and components(e.limit(0)).count() == 0
+    for most in (5, 1000):
+        got = {r.id: r.component_id for r in components(e, task_edges=most).collect()}
+        assert len(got) == 62 and all(got[i] == 1 for i in range(1, 61)) and got[101] == 100
+    assert components(e.limit(0)).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
