@@ -25,7 +25,7 @@ MIN_GRAM, MAX_GRAM, BUCKETS, WIDTH = 3, 5, 1 << 17, 4
 WINDOW = 32
 #: The sample that is fitted: so many toxic and so many clean labelled documents at most, of least hash; of a text with more
 #: characters than this, a window that begins anywhere in it, as a hash says. Scoring reads whole texts.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2_000, 3_500, 12_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2_000, 3_000, 12_000
 #: Adam: rounds on all windows and in all, first step (it falls to 0), and the ridge (shared out over the
 #: documents) that keeps down what only a few of them show.
 WARM, ROUNDS, STEP, RIDGE, SEED = 10, 60, 0.4, 0.03, 17
