@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lantern.llm.common import small_batches, tokenizer_path
+from lantern.llm.common import caches_of, small_batches, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: the pattern of the byte-level pre-tokenizer.
@@ -269,6 +269,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     path = vocabulary or tokenizer_path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("bpe", _codecs.clear)
         c = codec(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -290,6 +291,7 @@ def decode(tokens: DataFrame, vocabulary: str | None = None, id_col: str = "doc_
     path = vocabulary or tokenizer_path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("bpe", _codecs.clear)
         c = codec(path)
         for batch in batches:
             texts = [c.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]

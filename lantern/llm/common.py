@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 from urllib.parse import urlparse
 
@@ -108,6 +108,26 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_remembered: dict[str, Callable[[], object]] = {}
+
+
+def caches_of(operator: str, clear: Callable[[], object] | None = None) -> None:
+    """Empties what other operators' tasks have left in the caches of this worker process; clear empties the caller's own.
+
+    Workers live on from task to task, so a pipeline would else hold the caches of all its stages at once.
+    """
+    others = [k for k in _remembered if k != operator]
+    for k in others:
+        _remembered.pop(k)()
+    if clear:
+        if _remembered.get(operator, clear) != clear:
+            _remembered[operator]()
+        _remembered[operator] = clear
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 class Files:
     """Reads and writes whole files below a URI: file: by the operating system, any other scheme by pyarrow.fs."""
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import checkpoint, components, discard, free_names, fresh_dir, partitions, release, small_batches, written
+from lantern.llm.common import caches_of, components, discard, free_names, fresh_dir, partitions, release, small_batches, written
 
 #: ASCII white space to spaces, A-Z to a-z; other bytes of UTF-8 stay.
 FOLDED = np.array([32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -201,6 +201,7 @@ def _facts(texts: DataFrame, size: int, percent: int) -> DataFrame:
     more = [c for c in ROW if c in texts.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("jaccard")
         make, rings = Shingler(size), Rings(percent)
         for batch in batches:
             sets = make(batch.column(1))
@@ -231,6 +232,7 @@ def _shared(texts: DataFrame, size: int, percent: int) -> DataFrame:
     groups = partitions(texts.sparkSession) * GROUPS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("jaccard")
         make, rings, task = Shingler(size), Rings(percent), TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         sent = 0
@@ -304,6 +306,7 @@ def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(bytes(screen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("jaccard")
         bits, make = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little"), Shingler(size)
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch.column(1).to_numpy() * step * 8 + batch.column(2).to_numpy()] == 1))
@@ -345,6 +348,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("jaccard")
         for batch in batches:
             i, u = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lantern.llm.common import small_batches
+from lantern.llm.common import caches_of, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban")
@@ -140,6 +140,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("pii")
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
             hashes, spans, scores = [], [], []
@@ -180,6 +181,7 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
     n_at = docs.columns.index(length_col) if length_col in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("pii")
         for batch in batches:
             texts = [None if t is None else masked_text(t) for t in batch.column(at).to_pylist()]
             cols = list(batch.columns)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm.common import Files, fresh_dir, partitions, small_batches, tokenizer_path
+from lantern.llm.common import Files, caches_of, fresh_dir, partitions, small_batches, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
@@ -254,6 +254,7 @@ def write(docs: DataFrame, directory: str, vocabulary: str | None = None, end_id
     store.publish(f"dictionary-{digest.hex()}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("tokenfiles", _encoders.clear)
         enc, task = encoder(path), TaskContext.get()
         shared = _dict(raw)
         if shared:

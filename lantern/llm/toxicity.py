@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import small_batches
+from lantern.llm.common import caches_of, small_batches
 
 WORD = re.compile(r"\w+")
 MIN_GRAM, MAX_GRAM, BUCKETS, WIDTH = 3, 5, 1 << 17, 4
@@ -31,7 +31,7 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2_000, 3_000, 12_000
 WARM, ROUNDS, STEP, RIDGE, SEED = 10, 60, 0.4, 0.03, 17
 #: The least share of toxic documents in the loss, and the documents an n-gram has to be in.
 SHARE, MIN_DOCS = 0.2, 3
-CACHE = 400_000
+CACHE = 200_000
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -220,6 +220,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        caches_of("toxicity", m.cache.clear)
         for batch in batches:
             s = m.scores(batch.column(2).to_pylist())
             cols = [batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())]
@@ -241,6 +242,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        caches_of("toxicity", m.cache.clear)
         for batch in batches:
             yield batch.filter(pa.array([x < 0.5 for x in m.scores(batch.column(at).to_pylist())], pa.bool_()))
 
