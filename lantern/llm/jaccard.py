@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lantern.llm.common import caches_of, components, discard, free_names, fresh_dir, partitions, release, small_batches, written
@@ -322,15 +323,23 @@ def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
 def _regions(shared: DataFrame, reps: DataFrame) -> DataFrame:
     """region, rep: the members of the regions with two members at least; of equal regions, one.
 
-    Guests that share fewer pivots than a link would make them share are left out. Should two sets have a guest's number
+    Guests that share fewer pivots than a link would make them share are left out, and the others enter the smallest regions
+    only: as many as it takes to meet the other side of any link in one. Should two sets have a guest's number
     in common, both are members: regions may be too large, never too small.
     """
     guests = reps.select("rep", F.explode(F.arrays_zip("guests", "shares")).alias("g")).select("rep", F.col("g.guests").alias("guest"), F.col("g.shares").alias("share"))
     met = shared.groupBy("guest").agg(F.count(F.lit(1)).alias("met"))
-    alive = written(guests.join(met, "guest").filter("met >= share").select("guest", "rep"), "jaccard-alive")
-    posted = written(shared.join(alive, "guest").select("region", "rep").distinct(), "jaccard-posted")
+    alive = written(guests.join(met, "guest").filter("met >= share"), "jaccard-alive")
+    posted = written(shared.join(alive, "guest").select("region", "guest", "rep", "share").distinct(), "jaccard-posted")
     discard(alive)
-    out = written(_once(posted), "jaccard-regions")
+    # Of the pivots that a link shares, the one of the smallest region is among the first so many of either side's, by size.
+    sizes = posted.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    own = W.partitionBy("guest", "rep")
+    ranked = posted.join(sizes, "region").withColumn("place", F.row_number().over(own.orderBy("size", "region")))
+    first = ranked.withColumn("all", F.count(F.lit(1)).over(own)).filter("place <= all - share + 1")
+    out = written(first.select("region", "rep"), "jaccard-first")
+    discard(posted)
+    posted, out = out, written(_once(out), "jaccard-regions")
     discard(posted)
     return out
 
