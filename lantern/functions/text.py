@@ -15,12 +15,13 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # The stop words of search terms, and the verbs that mark a decision.
 STOPWORDS = (
-    "a an and are as at be been but by can did do does for from had has have he her his how i if in into is it its me my no not of on or our "
-    "she so that the their them then there they this to us was we were what when where which who why will with would you your"
+    "a about an and any are as at be been but by can did do does for from had has have he her his how i if in is it its me my of on or our "
+    "she should so that the their them then there these they this to up us was we were what when where which who whom why will with would you your"
 ).split()
-DECISION_VERBS = "agreed approved decided confirmed chose chosen settled signed accepted rejected cancelled concluded resolved".split()
+DECISION_VERBS = "agreed approved canceled cancelled chose chosen confirmed decided declined rejected resolved settled signed".split()
 ADDRESS = r"[A-Za-z0-9._%+'-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 TRUNCATE_TOKENS = 250
+#: Characters of markup that the parser is fed at once; pages are read whole.
 MAX_MARKUP = 2_000_000
 
 
@@ -64,7 +65,7 @@ def message_ids_in(c: Column) -> Column:
 
 
 def strip_reply_prefixes(c: Column) -> Column:
-    marks = "re|fwd|fw|aw|wg|sv|vs|tr|rv|res|enc|antw|odp|ynt|ilt|vb|doorst"  # fixed values: reply and forward marks
+    marks = "re|aw|antw|sv|vs|odp|res|rif|ref|fw|fwd|wg|tr|doorst|enc|rv|pd"  # fixed values: reply and forward marks
     return F.regexp_replace(c, rf"(?i)^(?:\s*(?:{marks})(?:\s*[\[(]\s*\d+\s*[\])])?\s*:\s*)+", "")
 
 
@@ -132,7 +133,7 @@ def addresses_text(x: str | None) -> list[dict] | None:
 class _Visible(HTMLParser):
     DROPPED = {"script", "style", "head", "noscript", "template", "title"}
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-    HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0|(?:width|height)\s*:\s*[01](?:px)?\s*(?:;|$)", re.I)
+    HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0(?:px|pt|em|rem|%)?\s*(?:;|!|$)|(?:width|height)\s*:\s*[01](?:px)?\s*(?:;|$)", re.I)
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -162,7 +163,8 @@ def visible_text(html: str | None) -> str | None:
     if html is None:
         return None
     p = _Visible()
-    p.feed(html[:MAX_MARKUP])
+    for i in range(0, len(html), MAX_MARKUP):
+        p.feed(html[i : i + MAX_MARKUP])
     p.close()
     return "\n".join(p.text)
 
