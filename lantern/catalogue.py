@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import UTC, datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lantern.adapters import feed, messages, table
+from lantern import catalogue_bodies, catalogue_rules  # noqa: F401  (they register their queries)
+from lantern.adapters import feed, messages, shared_folder, table
 from lantern.functions import text as T
 from lantern.operators import disclosure, evaluation, graph, ledger, ranking, structure
 from lantern.plans import ladder
 from lantern.plans.predicates import Compiler
 from lantern.plans.query import analyse
+from lantern.registry import MSG, NOW, ORACLE, QUERIES, query, word
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-NOW = datetime(2024, 1, 31, tzinfo=UTC)
 SEARCH = "tion ing"
-MSG = "m as (select conv_id || '-' || turn as message_id, conv_id as thread_id, turn as position, role as sender, text from conversations)"
-
-
-def word(w: str, c: str = "text") -> str:
-    return f"regexp_matches(lower({c}), '(^|[^a-z0-9_]){w}([^a-z0-9_]|$)')"
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
 
 
 # --- Retrieval ---------------------------------------------------------------
@@ -123,9 +104,16 @@ def stopword_filtered_terms(spark, d):
     return w.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
 
 
-@query("with t as (select conv_id, turn, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) as t from conversations) select conv_id, turn, case when regexp_matches(t, '^(when|what time|what date|which day)') then 'when' when regexp_matches(t, '^how (much|many)') then 'how_much' when regexp_matches(t, '^(did|have|has) (we|they|you) (decide|agree|approve)') then 'did_we_decide' when regexp_matches(t, '^who') then 'who' when regexp_matches(t, '^where') then 'where' when regexp_matches(t, '^why') then 'why' when regexp_matches(t, '^how') then 'how' when regexp_matches(t, '^(which|what)') then 'which' when regexp_matches(t, '^(is|are|was|were|do|does|did|can|could|will|would|has|have|should) ') then 'yes_no' end as kind from t")
+@query(
+    "with t as (select conv_id, turn, trim(regexp_replace(lower(case turn % 5 when 0 then 'So, ' || text || ' what date' when 1 then text || ' was it agreed' when 2 then text || ' at what total' when 3 then 'Which ' || text else text end), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) as t from conversations), "
+    "w as (select conv_id, turn, t, ' ' || regexp_replace(t, '[^\\p{L}\\p{M}\\p{N}_]+', ' ', 'g') || ' ' as s from t) "
+    "select conv_id, turn, case when s like '% when %' or s like '% what date %' or s like '% what time %' or s like '% what day %' then 'when' when s like '% how much %' or s like '% how many %' or s like '% what total %' then 'how_much' "
+    "when s like '% was it agreed %' or s like '% did we decide %' then 'did_we_decide' when s like '% who %' or s like '% whom %' then 'who' when s like '% where %' then 'where' when s like '% why %' then 'why' when s like '% which %' then 'which' when s like '% how %' then 'how' when s like '% what %' then 'what' end as kind from w"
+)
 def interrogative_class(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.interrogative(F.col("text")).alias("kind"))
+    t, k = F.col("text"), F.col("turn") % 5
+    asked = F.when(k == 0, F.concat(F.lit("So, "), t, F.lit(" what date"))).when(k == 1, F.concat(t, F.lit(" was it agreed"))).when(k == 2, F.concat(t, F.lit(" at what total"))).when(k == 3, F.concat(F.lit("Which "), t)).otherwise(t)
+    return table(spark, d, "conversations").select("conv_id", "turn", T.interrogative(asked).alias("kind"))
 
 
 @query("select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+''-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'), lambda x: lower(x)))) as address from documents")
@@ -379,11 +367,15 @@ def version_conflicts(spark, d):
     return graph.conflicts(a, docs.select(F.col("doc_id").alias("node_id"), F.md5(later.cast("binary")).alias("revision")))
 
 
-@query("select doc_id as node_id from documents where doc_id < 60 union select doc_id from documents where doc_id between 50 and 90")
+@query("select 'node' as part, o_custkey as a, 0::bigint as b from orders union select 'node', c_custkey, 0 from customer union select 'edge', o_custkey, o_orderkey from orders union select 'edge', c_custkey, c_nationkey from customer")
 def merge_union_distinct(spark, d):
-    n = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.col("lang").alias("revision"))
-    none = n.select(F.col("node_id").alias("edge_id"), F.col("node_id").alias("source"), F.col("node_id").alias("target")).limit(0)
-    return graph.merge(n.filter("node_id < 60"), none, n.filter("node_id between 50 and 90"), none, 1_000)[0].select("node_id")
+    """Customers by their orders and customers by their nation, both tables whole: the cap is one that neither can reach."""
+    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
+    node = lambda c: (F.col(c).alias("node_id"), F.lit(1).alias("revision"))
+    edge = lambda a, b: (F.concat_ws("/", F.lit(b), a, b).alias("edge_id"), F.col(a).alias("source"), F.col(a).alias("target"), F.col(b).cast("long").alias("what"))
+    first, then = orders.select(*node("o_custkey")).distinct(), customers.select(*node("c_custkey")).distinct()
+    nodes, edges = graph.merge(first, orders.select(*edge("o_custkey", "o_orderkey")), then, customers.select(*edge("c_custkey", "c_nationkey")), 1 << 62)
+    return nodes.select(F.lit("node").alias("part"), F.col("node_id").alias("a"), F.lit(0).cast("long").alias("b")).union(edges.select(F.lit("edge"), "source", "what").distinct())
 
 
 @query("select user_id as node_id, case when user_id % 7 = 0 then 'unverifiable' when user_id % 5 = 0 then 'gone' when user_id % 3 = 0 then 'stale' else 'fresh' end as freshness from (select distinct user_id from events)")
@@ -450,8 +442,7 @@ def streamed_windows(spark, d):
     e = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet(d)
     e = e.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     name = f"w{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lantern-stream"
-    out = stream.run_to_end(stream.windows(e), name, f"{folder}/{name}", "complete")
+    out = stream.run_to_end(stream.windows(e), name, f"{shared_folder(spark)}/{name}", "complete")
     return out.select("event_type", F.col("w.start").alias("hour"), "n", "value")
 
 
@@ -499,12 +490,12 @@ def false_not_found_rate(spark, d):
     return j.agg(F.round(F.avg(F.when(F.col("quality") == 1, (F.col("n_chars") <= 1000).cast("int"))), 6).alias("false_not_found"))
 
 
-@query("select coalesce(a.lang, b.lang) as lang, a.n as before, b.n as after from (select lang, count(*)::bigint as n from documents where doc_id % 2 = 0 group by 1) a full join (select lang, count(*)::bigint as n from documents where n_chars > 1500 group by 1) b on a.lang = b.lang where a.n is distinct from b.n")
+@query("select coalesce(a.source, b.source) as source, a.n as before, b.n as after from (select source, count(*)::bigint as n from documents where n_chars <= 1500 group by 1) a full join (select source, count(*)::bigint as n from documents where n_chars > 1500 group by 1) b on a.source = b.source where a.n is distinct from b.n")
 def arm_full_outer_diff(spark, d):
+    """Short and long documents by source: between them the arms hold every row."""
     docs = table(spark, d, "documents")
-    a = docs.filter("doc_id % 2 = 0").groupBy("lang").agg(F.count(F.lit(1)).alias("before"))
-    b = docs.filter("n_chars > 1500").groupBy("lang").agg(F.count(F.lit(1)).alias("after"))
-    return a.join(b, "lang", "full").filter(~F.col("before").eqNullSafe(F.col("after"))).select("lang", "before", "after")
+    count = lambda rows, name: rows.groupBy("source").agg(F.count(F.lit(1)).alias(name))
+    return evaluation.differences(count(docs.filter("n_chars <= 1500"), "before"), count(docs.filter("n_chars > 1500"), "after"), "source")
 
 
 # --- General relational operators --------------------------------------------

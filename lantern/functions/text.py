@@ -21,6 +21,15 @@ STOPWORDS = (
 DECISION_VERBS = "agreed approved canceled cancelled chose chosen confirmed decided declined rejected resolved settled signed".split()
 ADDRESS = r"[A-Za-z0-9._%+'-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 TRUNCATE_TOKENS = 250
+#: What no word has in it; written out so that other engines read it too.
+EDGE = r"[^\p{L}\p{M}\p{N}_]"
+# The classes of questions, by the first pattern that is found anywhere.
+QUESTIONS = [
+    ("when", r"\bwhen\b|\bwhat (?:time|date|day)\b|\bwhat's the date\b"),
+    ("how_much", r"\bhow (?:much|many)\b|\bwhat (?:price|cost|amount|total)\b"),
+    ("did_we_decide", r"\bdid (?:we|they|you|i) (?:decide|agree|approve|settle|choose|pick|sign off)\b|\bwas it (?:decided|agreed|approved)\b|\bwhat did (?:we|they) (?:decide|agree|choose)\b"),
+    ("who", r"\bwho\b|\bwhom\b"), ("where", r"\bwhere\b"), ("why", r"\bwhy\b"), ("which", r"\bwhich\b"), ("how", r"\bhow\b"), ("what", r"\bwhat\b"),
+]
 #: Characters of markup that the parser is fed at once; pages are read whole.
 MAX_MARKUP = 2_000_000
 
@@ -31,9 +40,9 @@ def lower_collapsed(c: Column) -> Column:
 
 
 def has_word(c: Column, word: str) -> Column:
-    """Whether the text holds the word whole, in any case; boundaries are written out so that RE2 reads them too."""
+    """Whether the text holds the word whole, in any case: no letter, mark, digit or underscore of any script beside it."""
     w = re.escape(word.lower())
-    return F.lower(c).rlike(f"(^|[^a-z0-9_]){w}([^a-z0-9_]|$)")
+    return F.lower(c).rlike(rf"(^|{EDGE}){w}({EDGE}|$)")
 
 
 def content_tokens(c: Column) -> Column:
@@ -83,13 +92,9 @@ def identifier_kind(c: Column) -> Column:
 
 
 def interrogative(c: Column) -> Column:
-    """The first class of question that a text opens with, or null."""
+    """The first class of question that is found in a text, or null."""
     t = lower_collapsed(c)
-    classes = [("when", "^(when|what time|what date|which day)"), ("how_much", "^how (much|many)"), ("did_we_decide", "^(did|have|has) (we|they|you) (decide|agree|approve)"), ("who", "^who"), ("where", "^where"), ("why", "^why"), ("how", "^how"), ("which", "^(which|what)"), ("yes_no", "^(is|are|was|were|do|does|did|can|could|will|would|has|have|should) ")]
-    out = F.when(F.lit(False), "")
-    for name, pattern in classes:
-        out = out.when(t.rlike(pattern), name)
-    return out
+    return F.coalesce(*(F.when(t.rlike("(?U)" + pattern), name) for name, pattern in QUESTIONS))
 
 
 def fold_text(x: str | None) -> str | None:

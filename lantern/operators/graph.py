@@ -52,7 +52,9 @@ def merge(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges:
     """The union by id; new nodes up to the cap, edges with both ends. A version conflict refuses the whole merge."""
     if not conflicts(nodes, more_nodes).isEmpty():
         raise ValueError("the graphs hold different versions of a node")
-    new = more_nodes.join(nodes.select("node_id"), "node_id", "left_anti").orderBy("node_id").limit(max(0, max_nodes - nodes.count()))
+    new, room = more_nodes.join(nodes.select("node_id"), "node_id", "left_anti"), max(0, max_nodes - nodes.count())
+    if new.count() > room:  # only then does anything have to be put in order
+        new = new.orderBy("node_id").limit(room)
     out = nodes.unionByName(new.select(nodes.columns))
     ids = out.select("node_id")
     fresh = more_edges.join(edges.select("edge_id"), "edge_id", "left_anti").select(edges.columns)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lantern.adapters import cut
+
 #: Weights of the mechanical rank.
 WEIGHTS = {"query_hit": 5, "unrelaxed": 4, "participant": 3, "window": 2, "concentration": 1}
 SHORTLIST, MARGIN = 25, 0.05
@@ -31,11 +33,20 @@ def shortlist(pool: DataFrame, query: list[float], k: int = SHORTLIST, id_col: s
 
 
 def mechanical_rank(threads: DataFrame) -> DataFrame:
-    """Adds value, the weights of the true components (columns of booleans), and rank by it, then by thread_id."""
+    """Adds value, the weights of the true components (columns of booleans), and rank by it, then by thread_id.
+
+    Threads are dealt by ranges of the order; a rank is the place within a range and the number of threads in ranges
+    before it, so no task holds all threads. Ranges are fixed by a checkpoint, as both counts must see the same ones.
+    """
     from pyspark.sql import Window as W
 
     value = sum((F.coalesce(F.col(c), F.lit(False)).cast("int") * w for c, w in WEIGHTS.items()), F.lit(0))
-    return threads.withColumn("value", value).withColumn("rank", F.row_number().over(W.orderBy(F.desc("value"), "thread_id")))
+    order = [F.desc("value"), F.col("thread_id")]
+    dealt = cut(threads.withColumn("value", value).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).drop("_n")  # a row for each range
+    placed = dealt.withColumn("_place", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
+    return placed.join(F.broadcast(before), "_range").withColumn("rank", F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
 
 
 def pool(rows: DataFrame, max_threads: int = 25, max_messages: int = 300) -> DataFrame:
@@ -47,6 +58,15 @@ def pool(rows: DataFrame, max_threads: int = 25, max_messages: int = 300) -> Dat
     return kept.withColumn("n", F.row_number().over(W.orderBy("priority", "thread_id", "message_id")))
 
 
+_built: dict[str, Callable] = {}
+
+
+def built(name: str, factory: Callable[[], Callable]) -> Callable:
+    if name not in _built:
+        _built[name] = factory()
+    return _built[name]
+
+
 class Backends:
     """Named embedding and rerank functions: built once in a process, checked on every call."""
 
@@ -61,7 +81,7 @@ class Backends:
 
         @F.pandas_udf("array<double>")
         def run(texts: pd.Series) -> pd.Series:
-            return pd.Series(checked(factory(), texts.fillna("").tolist()))
+            return pd.Series(checked(built(name, factory), texts.fillna("").tolist()))
 
         return run
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lantern.adapters import cut
 from lantern.functions.text import ADDRESS, addresses_in_header, message_ids_in
 
 DAY_MS = 86_400_000
@@ -54,16 +55,22 @@ def reply_links(m: DataFrame) -> DataFrame:
 def refuse_cycles(links: DataFrame) -> DataFrame:
     """Messages on a cycle of parents lose their link, as REPLY_CYCLE; those that lead into one keep theirs.
 
-    Pointer doubling: after k rounds `up` is 2**k steps above and `low` the least id on the way; a message is on a
-    cycle if a walk of at least as many steps as a thread has messages comes by it again.
+    A cycle has a link to a greater id and one to a smaller or equal id, so threads without both kinds are done. In the
+    others, pointers are doubled: after k rounds `up` is 2**k steps above, and walks that end drop out. On a cycle
+    2**k steps are a permutation, so once they are more than a thread has messages, the places reached are the cycles.
+    No row holds more than its pointer, so a long thread is spread like any other.
     """
-    longest = links.groupBy("thread_id").count().agg(F.max("count")).first()[0] or 0
     step = links.filter("parent_id is not null").select("thread_id", "message_id", F.col("parent_id").alias("up"))
-    path = step.withColumn("seen", F.array("up"))
-    for _ in range(max(1, longest.bit_length())):
-        nxt = path.select("thread_id", F.col("message_id").alias("up"), F.col("up").alias("_up2"), F.col("seen").alias("_seen2"))
-        path = path.join(nxt, ["thread_id", "up"], "left").select("thread_id", "message_id", F.col("_up2").alias("up"), F.array_union("seen", F.coalesce("_seen2", F.array().cast("array<string>"))).alias("seen"))
-    on = path.filter(F.array_contains("seen", F.col("message_id"))).select("thread_id", "message_id", F.lit(True).alias("_cycle"))
+    both = step.groupBy("thread_id").agg(F.max((F.col("up") > F.col("message_id")).cast("int")).alias("_f"), F.max((F.col("up") < F.col("message_id")).cast("int")).alias("_b"), F.max((F.col("up") == F.col("message_id")).cast("int")).alias("_o"), F.count(F.lit(1)).alias("_n"))
+    path = cut(step.join(both.filter("_f + _b = 2 or _o = 1"), "thread_id").select("thread_id", "message_id", "up", "_n"))
+    longest = path.agg(F.max("_n")).first()[0] or 0
+    path = path.drop("_n")
+    for _ in range(longest.bit_length()):
+        above = path.select("thread_id", F.col("message_id").alias("up"), F.col("up").alias("_up2"))
+        path = cut(path.join(above, ["thread_id", "up"]).select("thread_id", "message_id", F.col("_up2").alias("up")))
+        if path.isEmpty():
+            break
+    on = path.select("thread_id", F.col("up").alias("message_id"), F.lit(True).alias("_cycle")).distinct()
     out = links.join(on, ["thread_id", "message_id"], "left")
     cycle = F.coalesce("_cycle", F.lit(False))
     return out.select("thread_id", "message_id", F.when(~cycle, F.col("parent_id")).alias("parent_id"), F.when(cycle, "REPLY_CYCLE").otherwise(F.col("linkage")).alias("linkage"), "evidence")
