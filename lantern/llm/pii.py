@@ -1,8 +1,9 @@
 """PII: patterns propose spans, checksums confirm them, words nearby adjust a score.
 
 Base kinds are email, ip, card and phone, matched leftmost and without overlap in each kind. The score never
-removes a base span; iban spans, confirmed by mod-97 at any boundary of a run, are added where the score reaches a
-threshold.
+removes a base span. Added are spans whose score reaches a threshold: iban, confirmed by mod-97 at any boundary of a run,
+which alone is enough; and routing, nine digits by the checksum of bank routing numbers, which one number in ten passes, so
+that a context word has to stand near it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from lantern.llm.common import caches_of, small_batches
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban")
+KINDS = (*BASE, "iban", "routing")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # No digit before it, as a match that fails from the start of a run of digits fails from within it too.
@@ -26,6 +27,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Where an IBAN may start, and the longest run from there; added_spans() finds its end.
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+ROUTING = re.compile(r"(?<![0-9A-Za-z+.-])[0-9]{9}(?![0-9A-Za-z]|[.-][0-9])")
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {
     c[:2]: int(c[2:])
@@ -37,14 +39,17 @@ IBAN_LENGTHS = {
 }
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: The score of a confirmed span by kind, what a context word adds, and how far it may stand away.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "routing": 0.4}
+#: Context words of English, German, French and Spanish; they count as whole words.
 CONTEXT = {
-    "email": ("mail", "contact", "@"),
-    "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
-    "iban": ("iban", "bank", "account", "transfer"),
+    "email": "mail email e-mail contact kontakt correo courriel",
+    "ip": "ip host server address adresse serveur servidor",
+    "card": "card visa credit payment karte kreditkarte carte tarjeta",
+    "phone": "phone tel call mobile fax telefon handy téléphone teléfono",
+    "iban": "iban bank account transfer konto überweisung compte banque cuenta banco",
+    "routing": "routing aba rtn bank account transfer konto überweisung compte banque cuenta banco",
 }
+WORDS = {k: re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, v.split()))})(?!\w)", re.IGNORECASE) for k, v in CONTEXT.items()}
 NEAR, BONUS, THRESHOLD = 40, 0.15, 0.5
 
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>"
@@ -58,6 +63,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def routed(digits: str) -> bool:
+    return sum(w * int(d) for w, d in zip((3, 7, 1) * 3, digits, strict=True)) % 10 == 0 and digits != "000000000"
+
+
 def mod97(iban: str) -> bool:
     moved = iban[4:] + iban[:4]
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
@@ -119,12 +128,19 @@ def added_spans(text: str) -> list[tuple[int, int, int]]:
         if end and score(text, m.start(), end, "iban") >= THRESHOLD:
             found.append((m.start(), 4, end))
         at = end or m.start() + 1
-    return found
+    for m in ROUTING.finditer(text):
+        if routed(m[0]) and score(text, *m.span(), "routing") >= THRESHOLD:
+            found.append((m.start(), 5, m.end()))
+    return sorted(found)
 
 
 def score(text: str, start: int, end: int, kind: str) -> float:
-    near = (text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()
-    return round(min(1.0, SCORES[kind] + BONUS * any(w in near for w in CONTEXT[kind])), 2)
+    """What the kind is worth by itself, more if a context word stands within NEAR characters: words that NEAR cuts do not count."""
+    a, b = max(0, start - NEAR), min(len(text), end + NEAR)
+    near = WORDS[kind].search(text, a, start) or WORDS[kind].search(text, end, b)
+    if near and (near.start() == a > 0 and text[a - 1].isalnum() or near.end() == b < len(text) and text[b].isalnum()):
+        near = None
+    return round(min(1.0, SCORES[kind] + BONUS * bool(near)), 2)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -36,7 +36,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents")).drop("scores")
+    return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,31 @@ def test_pii(odd, empty):
         pii.base_spans(n)
 
 
+def test_context_decides():
+    number = "021000021"
+    for text, found in ((f"routing {number}", True), (f"The number is {number}.", False), (f"Konto: {number}", True), (f"rerouting {number}", False), (f"routing {' ' * 60}{number}", False), ("routing 021000022", False), (f"bank {number}5", False)):
+        assert [s[1] for s in pii.added_spans(text)] == ([5] if found else []), text
+    assert pii.masked_text(f"ABA {number}, see {number}") == "ABA [routing], see [routing]" and pii.masked_text(f"order {number}") == f"order {number}"
+    # Words count whole: neither a ship nor a hotel is context.
+    assert pii.score("ship 1.2.3.4", 5, 12, "ip") == 0.6 and pii.score("ip 1.2.3.4", 3, 10, "ip") == 0.75 and pii.score("hotel +1 555", 6, 12, "phone") == 0.6
+
+
+def test_base_spans_by_brute_force():
+    """The patterns of the contract as they stand, each over the whole text, with its checks."""
+    import random
+    import re
+
+    plain = {
+        0: (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), 1: (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        2: (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and pii.luhn(d)), 3: (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice(["1", "4", "0", "25", "9", ".", "-", " ", "+", "@", "a", "b.c", "4111111111111111", "(", "é"]) for _ in range(rng.randint(0, 30)))
+        want = sorted((m.start(), k, m.end()) for k, (p, ok) in plain.items() for m in re.finditer(p, text) if ok(m[0]))
+        assert pii.base_spans(text) == want, text
+
+
 def test_iban_ends():
     for iban, after in (("DE89 3704 0044 0532 0130 00", " BIC COBADEFFXXX"), ("GB82 WEST 1234 5698 7654 32", " I paid"), ("DE89370400440532013000", " 2024"), ("QQ44 1234 5678 9012 345", " AB X")):
         assert pii.masked_text(f"to {iban}{after}") == f"to [iban]{after}", iban
