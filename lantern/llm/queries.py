@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import bpe, jaccard, lsh, media, mixing, pii, sharding, tokenfiles, toxicity, warc
+from lantern.llm import bpe, filters, jaccard, lsh, media, mixing, pii, sharding, tokenfiles, toxicity, warc
 from lantern.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.near_links(table(spark, sf_dir, "embeddings"))
 
 
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(filters.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_mixing, op3_sharding, op4_toxicity, op5_warc, op6_token_files, op7_pii, op8_jaccard, op9_media, op10_embeddings)
+    f.__name__: f for f in (op1_bpe, op2_mixing, op3_sharding, op4_toxicity, op5_warc, op6_token_files, op7_pii, op8_jaccard, op9_media, op10_embeddings, op13_filters)
 }

@@ -42,4 +42,23 @@ placed as (select *, sum(n_tokens) over (partition by domain, language, source o
 select doc_id, domain, language, source, n_tokens, whole + (rest > 0 and upto <= rest)::bigint as copies from placed
 """
 
-ORACLE: dict[str, str] = {"op2_mixing": OP2}
+OP13 = """
+with flagged as (select d.doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') as words,
+    min(d.doc_id) over (partition by coalesce(text, '')) as first_id from documents d),
+failing as (select doc_id, part, {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words), 'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(first_id < doc_id, false)} as f from flagged),
+labelled as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+patterns as (select part, f, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from failing left join labelled using (doc_id) group by part, f),
+letter as (select unnest(['A', 'B', 'C', 'D', 'E']) as k),
+orders as (select [a.k, b.k, c.k, d.k, e.k] as o from letter a, letter b, letter c, letter d, letter e where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps as (select o, step, o[step] as k from orders, (select unnest([1, 2, 3, 4, 5]) as step)),
+fate as (select part, o, n, good, toxic, [case x when 'A' then f.A when 'B' then f.B when 'C' then f.C when 'D' then f.D else f.E end for x in o] as fails from patterns, orders),
+met as (select part, o, step, k, n, good, toxic, fails[step] as fails, coalesce(list_position(fails, true), 6) as gone, len(list_filter(fails, lambda x: x)) = 1 as single from fate join steps using (o)),
+counted as (select part, o, step, k, sum(n) filter (where gone > step) as kept, sum(n) filter (where gone = step) as removed, sum(n) filter (where fails and gone < step) as redundant,
+    sum(n) filter (where fails and single) as unique_fails, sum(good) filter (where gone = step) as good_lost, sum(toxic) filter (where gone = step) as toxic_lost from met group by all)
+select part, array_to_string(o, '') as filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+    coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+    coalesce(sum(removed) over (partition by part, k), 0)::bigint as shapley from counted
+"""
+
+ORACLE: dict[str, str] = {"op2_mixing": OP2, "op13_filters": OP13}
