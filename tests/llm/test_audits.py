@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 
-from lantern.llm import filters
+from lantern.llm import filters, suffixtree
 
 DOC = "doc_id long, text string, lang string, source string, part string, first int, n string"
 
@@ -75,3 +78,68 @@ def test_filter_limits():
     assert filters.flags(b"a a a a a a a b c d e f g h i j k l m n")[1] == 0 and filters.flags(b"a a b")[1] == 0 and filters.flags(b"a a a b")[1] == 1
     assert filters.flags(("A" + "é" * 19).encode())[2] == 0 and filters.flags(("A" + "é" * 18).encode())[2] == 1
     assert filters.flags(b"") == (1, 0, 0, 0) and all(filters.flags(c.encode())[3] for c in "#$%&*|")
+
+
+class TreeByHand:
+    """The same tree from dictionaries of tuples, one context and word at a time."""
+
+    def __init__(self, texts):
+        self.seqs = [["", *t, ""] for t in texts]
+        self.uni = Counter(w for s in self.seqs for w in s[1:])
+        self.n, self.v = sum(self.uni.values()), len(self.uni)
+        grams = {k: Counter(tuple(s[i : i + k]) for s in self.seqs for i in range(len(s) - k + 1)) for k in range(2, suffixtree.DEPTH + 2)}
+        self.nexts = defaultdict(dict)
+        for k in grams:
+            for g, c in grams[k].items():
+                if c >= suffixtree.MIN_COUNT:
+                    self.nexts[g[:-1]][g[-1]] = c
+        self.counts = {g: c for k in grams for g, c in grams[k].items()} | {(w,): c for w, c in self.uni.items()}
+        self.states = {}
+        for s in sorted(self.nexts, key=len):
+            p = {w: (c - suffixtree.DISCOUNT) / self.counts[s] for w, c in self.nexts[s].items()}
+            below = {w: self.p(s[1:], w) for w in p}
+            left = (1 - sum(p.values())) / (1 - sum(below.values()))
+            gain = sum(p[w] * math.log(p[w] / below[w]) for w in p) + (1 - sum(p.values())) * math.log(left)
+            if 2 * self.counts[s] * gain > len(p) * math.log(self.n):
+                self.states[s] = (p, left)
+
+    def p(self, s, w):
+        s = tuple(s[-suffixtree.DEPTH :]) if s else ()
+        while s and s not in self.states:
+            s = s[1:]
+        if not s:
+            return (self.uni.get(w, 0) + 0.1) / (self.n + 0.1 * (self.v + 1))
+        p, left = self.states[s]
+        return p[w] if w in p else left * self.p(s[1:], w)
+
+
+def test_suffix_tree(spark, docs):
+    cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    line = "one two three four five six seven eight"
+    more = spark.createDataFrame([(1000 + i, f"{line} {i} {line if i % 3 else ''}", "en", "s", "p", 1, "n") for i in range(60)], DOC)
+    rows = docs.filter("doc_id is null or doc_id <> 602").unionByName(more)
+    out = lambda r: r is not None and zlib.crc32(str(r).encode()) % 10 == 0
+    all_rows = rows.collect()
+    hand = TreeByHand([cut(r.text) for r in all_rows if not out(r.doc_id)])
+    want = []
+    for r in all_rows:
+        s = ["", *cut(r.text), ""]
+        base, full = sum(math.log10(hand.p((), w)) for w in s[1:]), sum(math.log10(hand.p(s[:i], s[i])) for i in range(1, len(s)))
+        want.append((r.doc_id, out(r.doc_id), len(s) - 1, sum(hand.uni.get(w, 0) > 0 for w in s[1:]), hand.n, round(base, 6), round(full, 6)))
+    tree, words = suffixtree.train(rows)
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in suffixtree.score(rows, tree, words).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {len(s) for s in hand.states} >= {1, 2} and sum(map(sum, tree.retained.values())) == len(hand.states)
+    # Every state's distribution sums to one: over all words, and one that is unseen.
+    for s in [(), *list(hand.states)[:40]]:
+        assert abs(sum(hand.p(s, w) for w in [*hand.uni, "unseen!"]) - 1) < 1e-9
+    assert suffixtree.score(rows.limit(0), tree, words).count() == 0
+    nothing = suffixtree.train(rows.limit(0))
+    assert {(r.train_tokens, r.n_known, r.score) for r in suffixtree.score(rows.limit(5), *nothing).collect()} == {(0, 0, 0.0)}
+
+
+def test_suffix_tree_long_text(spark):
+    text = "alpha beta gamma " * 60_000
+    rows = spark.createDataFrame([(1, text), (2, "alpha beta gamma"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixtree.score(rows, *suffixtree.train(rows)).collect()}
+    assert got[1].n_tokens == 180_001 and got[3].n_tokens == 1 and 0 > got[1].score > got[1].base_score / 100
