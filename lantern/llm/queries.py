@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import bpe, filters, jaccard, lsh, media, mixing, pii, sharding, suffixtree, tokenfiles, toxicity, warc
+from lantern.llm import bpe, divergence, filters, jaccard, lsh, media, mixing, pii, sharding, suffixtree, tokenfiles, toxicity, warc
 from lantern.llm.common import table
 
 
@@ -56,10 +56,14 @@ def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(docs, *suffixtree.train(docs))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(filters.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_mixing, op3_sharding, op4_toxicity, op5_warc, op6_token_files, op7_pii, op8_jaccard, op9_media, op10_embeddings, op11_suffix_tree, op13_filters)
+    f.__name__: f for f in (op1_bpe, op2_mixing, op3_sharding, op4_toxicity, op5_warc, op6_token_files, op7_pii, op8_jaccard, op9_media, op10_embeddings, op11_suffix_tree, op12_divergence, op13_filters)
 }

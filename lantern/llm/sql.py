@@ -61,4 +61,21 @@ select part, array_to_string(o, '') as filter_order, step::int as step, coalesce
     coalesce(sum(removed) over (partition by part, k), 0)::bigint as shapley from counted
 """
 
-ORACLE: dict[str, str] = {"op2_mixing": OP2, "op13_filters": OP13}
+OP12 = """
+with docs as (select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as t from documents),
+occurrence as (select row_id, lang, source, translate(unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from docs),
+kept as (select lang, term, count(*)::hugeint as n from occurrence group by all having count(distinct row_id) >= 3),
+lang_total as (select lang, sum(n) as total, count(*) as v from kept group by lang),
+counted as (select lang, source, term, count(*)::hugeint as n from occurrence semi join kept using (lang, term) group by all),
+source_total as (select lang, source, sum(n) as total from counted group by all),
+sources as (select distinct lang, source from docs),
+shares as (select s.lang, s.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (coalesce(st.total, 0) + l.v) as p, 1 + (1000000000 * (k.n + 1)) // (l.total + l.v) as q
+    from sources s join kept k using (lang) join lang_total l using (lang) left join counted c using (lang, source, term) left join source_total st using (lang, source)),
+distances as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from shares a join shares b using (lang, term) where a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(d.value, 0)::bigint as value from sources a join sources b using (lang) left join distances d on d.lang = a.lang and d.source = a.source and d.item = b.source where a.source <> b.source),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // q)::bigint as value from shares where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from pairs union all from terms))
+select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 200
+"""
+
+ORACLE: dict[str, str] = {"op12_divergence": OP12, "op2_mixing": OP2, "op13_filters": OP13}

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lantern.llm import filters, suffixtree
+from lantern.llm import divergence, filters, suffixtree
 
 DOC = "doc_id long, text string, lang string, source string, part string, first int, n string"
 
@@ -143,3 +143,41 @@ def test_suffix_tree_long_text(spark):
     rows = spark.createDataFrame([(1, text), (2, "alpha beta gamma"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in suffixtree.score(rows, *suffixtree.train(rows)).collect()}
     assert got[1].n_tokens == 180_001 and got[3].n_tokens == 1 and 0 > got[1].score > got[1].base_score / 100
+
+
+def _divergence_by_hand(rows):
+    lower = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    count, df, groups = defaultdict(Counter), defaultdict(Counter), sorted({(r.lang or "", r.source or "") for r in rows})
+    for r in rows:
+        terms = [t.translate(lower) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r.text or "")]
+        count[r.lang or "", r.source or ""].update(terms)
+        df[r.lang or ""].update(set(terms))
+    out = []
+    for lang in {g[0] for g in groups}:
+        kept = [t for t, n in df[lang].items() if n >= 3]
+        of = {s: {t: count[lang, s][t] for t in kept} for x, s in groups if x == lang}
+        of[None] = {t: sum(of[s][t] for s in of) for t in kept}
+        p = {s: {t: 1 + 1_000_000_000 * (n + 1) // (sum(of[s].values()) + len(kept)) for t, n in of[s].items()} for s in of}
+        far = lambda a, b: (a - b) ** 2 // b
+        for s in of:
+            if s is not None:
+                pairs = [(b, sum(far(p[s][t], p[b][t]) for t in kept)) for b in of if b not in (s, None)]
+                terms = [(t, far(p[s][t], p[None][t])) for t in kept if of[s][t] and p[s][t] > p[None][t]]
+                for part, items, most in (("pair", pairs, None), ("term", terms, divergence.TOP)):
+                    ranked = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:most]
+                    out += [(lang, s, part, item, v, k) for k, (item, v) in enumerate(ranked, 1)]
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_divergence(docs, spark, monkeypatch, small):
+    if small:  # runs over many batches, pairs in pieces, groups joined
+        for name, n in (("ROWS", 7), ("PAIRS", 5), ("HELD", 50), ("BROADCAST_GROUPS", 0)):
+            monkeypatch.setattr(divergence, name, n)
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in ("été", "Straße", "zoo", "x", "It's") for b in "abcdefghijkl"]
+    more = [(2000 + i, " ".join(rng.choices(words, k=rng.randrange(1, 30))), rng.choice(["en", "de"]), f"s{rng.randrange(9)}", "p", 1, "n") for i in range(80)]
+    rows = docs.unionByName(spark.createDataFrame(more, DOC))
+    got = [(r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in divergence.audit(rows).collect()]
+    assert sorted(got) == sorted(_divergence_by_hand(rows.collect()))
+    assert divergence.audit(rows.limit(0)).count() == 0
