@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lantern import catalogue_bodies, catalogue_rules  # noqa: F401  (they register their queries)
+from lantern import catalogue_bodies, catalogue_rules, catalogue_search  # noqa: F401  (they register their queries)
 from lantern.adapters import feed, messages, shared_folder, table
 from lantern.functions import text as T
 from lantern.operators import disclosure, evaluation, graph, ledger, ranking, structure

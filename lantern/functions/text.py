@@ -78,17 +78,25 @@ def strip_reply_prefixes(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?i)^(?:\s*(?:{marks})(?:\s*[\[(]\s*\d+\s*[\])])?\s*:\s*)+", "")
 
 
+# The forms of structured identifiers, in the order in which they are tried; what may stand around one.
+IDENTIFIERS = {"message_id": r"<[^<>\s@]+@[^<>\s@]+>", "tracking": r"1Z[0-9A-Z]{16}|[0-9]{12}|[0-9]{15}|[0-9]{20,22}|[A-Z]{2}[0-9]{9}[A-Z]{2}", "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"}
+AROUND = r"^[\"'(\[{,;:.!?]+|[\"')\]},;:.!?]+$"
+
+
 def identifier_kind(c: Column) -> Column:
     """message_id, tracking, iban, reference, or null, in this order."""
-    x = F.regexp_replace(c, r"^[\"'(\[{,;:.!?]+|[\"')\]},;:.!?]+$", "")
-    tracking = x.rlike(r"^1Z[0-9A-Z]{16}$|^\d{12}$|^\d{15}$|^\d{20,22}$|^[A-Z]{2}\d{9}[A-Z]{2}$")
+    x = F.regexp_replace(c, AROUND, "")
     digits = F.length(F.regexp_replace(x, "[^0-9]", ""))
-    return (
-        F.when(c.rlike(r"^<[^<>\s@]+@[^<>\s@]+>$"), "message_id")
-        .when(tracking, "tracking")
-        .when(x.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$"), "iban")
-        .when((F.length(x) >= 6) & (digits >= 2) & x.rlike("^[A-Za-z0-9#/_-]+$"), "reference")
-    )
+    forms = [F.when((c if k == "message_id" else x).rlike(f"^(?:{p})$"), k) for k, p in IDENTIFIERS.items()]
+    return F.coalesce(*forms, F.when((F.length(x) >= 6) & (digits >= 2) & x.rlike("^[A-Za-z0-9#/_-]+$"), "reference"))
+
+
+def identifier_of(token: str) -> str | None:
+    """identifier_kind() of one token, for the parts of a query."""
+    x = re.sub(AROUND, "", token)
+    found = (k for k, p in IDENTIFIERS.items() if re.fullmatch(p, token if k == "message_id" else x))
+    reference = len(x) >= 6 and len(re.sub("[^0-9]", "", x)) >= 2 and re.fullmatch("[A-Za-z0-9#/_-]+", x)
+    return next(found, "reference" if reference else None)
 
 
 def interrogative(c: Column) -> Column:
