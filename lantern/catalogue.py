@@ -338,12 +338,6 @@ def fixed_page_numbers(spark, d):
     return m.select(F.col("thread_id").alias("view"), "position", F.expr("(row_number() over (partition by thread_id order by position) - 1) div 3").alias("page"))
 
 
-@query(None)
-def greedy_pages(spark, d):
-    m = messages(spark, d).select(F.col("thread_id").alias("view"), "position", F.length("text").alias("chars"))
-    return graph.pages(m, limit=2_000)
-
-
 # --- Graph -------------------------------------------------------------------
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.adapters import messages
+from lantern.adapters import feed, messages, table
+from lantern.operators import paging
 from lantern.plans import batch
 from lantern.registry import NOW, query
+from lantern.streaming import recency
 
 # --- Many queries at once --------------------------------------------------------
 
@@ -64,3 +66,77 @@ def batched_evidence(spark, d):
     # A message counts for the first rung that gave it, L0 and L1 by themselves, as both answer the whole query.
     first = batch.best_rung(r.filter("rung <> 'L0'"))
     return r.filter("rung = 'L0'").select("query_id", "message_id", "rung").unionByName(first)
+
+
+# --- Recency ---------------------------------------------------------------------
+
+
+def additions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """events as additions to users' mailboxes, a walk a day, and one standing query for each mailbox: what its first event was labelled,
+    until a date, from whoever its last event names."""
+    e = feed(spark, d)
+    day = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd")
+    rows = e.select(
+        F.col("thread_id").alias("mailbox"), day.alias("walk"), F.lpad(F.col("history_id").cast("string"), 12, "0").alias("message_id"), "history_id", F.lit(None).cast("long").alias("oldest"),
+        F.array(F.concat("event_type", F.lit("@x.example"))).alias("addresses"), "ts_us", (F.col("value") > 5).alias("has_attachment"), F.when(F.col("value") < 60, F.array(F.upper("event_type"))).alias("labels"),
+    )
+    first = e.groupBy("thread_id").agg(F.min_by("event_type", "history_id").alias("a"), F.max_by("event_type", "history_id").alias("b"), F.max_by("value", "history_id").alias("v"))
+    asks = F.when(F.col("a") == "view", F.lit("receipt has:attachment")).when(F.col("b") == "click", F.lit("")).when(F.col("v") > 20, F.concat(F.lit("label:"), "a", F.lit(" before:2024/01/20"))).otherwise(F.concat(F.lit("from:"), "b", F.lit("@x.example total")))
+    labels = {x: x.upper() for x in ("click", "error", "purchase")}  # signups have no label id that is known
+    return rows, recency.facts(first.select(F.col("thread_id").alias("query_id"), asks.alias("query")), NOW, labels)
+
+
+RECENT_SQL = """e as (select user_id as mailbox, strftime(ts, '%Y-%m-%d') as walk, lpad(event_id::varchar, 12, '0') as message_id, event_id as history_id, ts, event_type, value from events),
+asks as (select mailbox, arg_min(event_type, history_id) as a, arg_max(event_type, history_id) as b, arg_max(value, history_id) as v from e group by mailbox),
+kinds as (select *, case when a = 'view' then 'attachment' when b = 'click' then 'none' when v > 20 then 'label' else 'people' end as kind from asks),
+judged as (select e.*, kind, case kind when 'attachment' then value > 5 when 'people' then event_type = b else ts < timestamp '2024-01-20' and (a = 'signup' or value >= 60 or event_type = a) end as passed,
+    case kind when 'attachment' then 'has_attachment' when 'people' then 'participant' else case when ts >= timestamp '2024-01-20' or a = 'signup' or value >= 60 then 'date' else 'date, label' end end as checked,
+    case kind when 'attachment' then 'has_attachment' when 'people' then 'participant' when 'label' then case when ts >= timestamp '2024-01-20' then 'date' else 'label' end end as could_fail from e join kinds using (mailbox) where kind <> 'none'),
+marks as (select mailbox, walk, max(max(history_id)) over (partition by mailbox order by walk rows between unbounded preceding and 1 preceding) as since from judged group by mailbox, walk),
+placed as (select *, row_number() over (partition by mailbox, walk order by message_id) as n from judged join marks using (mailbox, walk)),
+told as (select *, case when since is null then 'no_watermark' when n > 8 then 'beyond_cap' when passed then 'surfaced' else 'contradicted' end as status from placed)"""
+
+
+@query(
+    f"with {RECENT_SQL} select mailbox, walk, message_id, status, since, case when status in ('surfaced', 'contradicted') then checked end as checked, case when status = 'contradicted' then could_fail end as failed_on, "
+    "case when status = 'surfaced' then 'history.list messageAdded since ' || since || '; constraints re-checked locally: [' || checked || ']; free-text terms NOT re-checked - Gmail q did not match this message' end as reason from told"
+)
+def recency_rows(spark, d):
+    r = recency.reconcile(*additions(spark, d))
+    return r.select("mailbox", "walk", "message_id", "status", "since", F.array_join("checked", ", ").alias("checked"), "failed_on", "reason")
+
+
+@query(
+    f"with {RECENT_SQL} select mailbox, walk, case when bool_or(status = 'no_watermark') then 'no_watermark' else 'ran' end as state, max(since) as since, max(history_id) as latest, count(*) filter (where status <> 'no_watermark') as candidates, "
+    "count(*) filter (where status in ('surfaced', 'contradicted')) as fetched, count(*) filter (where status = 'surfaced') as surfaced, case when bool_or(status = 'no_watermark') then 0 else 2 + 20 * count(*) filter (where status in ('surfaced', 'contradicted')) end as quota_units from told group by mailbox, walk"
+)
+def recency_accounts(spark, d):
+    return recency.accounts(recency.reconcile(*additions(spark, d)))
+
+
+# --- Pages -----------------------------------------------------------------------
+
+
+def _pages_sql(rows: str, limit: int) -> str:
+    """The fold itself, row by row: what a page holds, whether the next row starts another."""
+    return (
+        f"with recursive r as (select *, row_number() over (partition by view order by position) - 1 as i, count(*) over (partition by view) as total from ({rows})), "
+        f"p as (select view, position, i, total, chars, chars as used, 0::bigint as page from r where i = 0 union all "
+        f"select r.view, r.position, r.i, r.total, r.chars, case when p.chars > {limit} or p.used + r.chars > {limit} then r.chars else p.used + r.chars end, case when p.chars > {limit} or p.used + r.chars > {limit} then page + 1 else page end from p join r on r.view = p.view and r.i = p.i + 1)"
+    )
+
+
+@query(_pages_sql("select conv_id as view, turn as position, length(text) as chars from conversations", 2000) + " select view, position, chars::int as chars, page from p")
+def greedy_pages(spark, d):
+    m = messages(spark, d).select(F.col("thread_id").alias("view"), "position", F.length("text").alias("chars"))
+    return paging.pages(m, limit=2_000).select("view", "position", "chars", "page")
+
+
+@query(
+    _pages_sql("select source as view, doc_id as position, greatest(length(text), 1) as chars from documents", 16000)
+    + " select view, page, case when max(chars) > 16000 then 'oversized' else 'ok' end as state, min(i) as returned_from, case when max(i) + 1 < any_value(total) then max(i) + 1 end as next_cursor, case when max(chars) > 16000 then 0 else count(*) end as items from p group by view, page"
+)
+def page_cursors(spark, d):
+    """The pages of each source's documents: where each starts, what continues it, and the rows too large for any."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("view"), F.col("doc_id").alias("position"), F.char_length("text").alias("chars"))
+    return paging.page_table(paging.pages(docs))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_CANDIDATES, PAGE_CHARS = 4, 16_000
+MAX_CANDIDATES = 4
 URL = r"https?://[^\s\"'<>)\]]+"
 
 
@@ -78,18 +78,3 @@ def disclose(nodes: DataFrame, edges: DataFrame, current: DataFrame, allowed: Da
     k = kept.select("node_id")
     return kept, edges.join(k.withColumnRenamed("node_id", "source"), "source", "left_semi").join(k.withColumnRenamed("node_id", "target"), "target", "left_semi").select(edges.columns)
 
-
-def pages(rows: DataFrame, order: str = "position", cost: str = "chars", limit: int = PAGE_CHARS) -> DataFrame:
-    """Greedy pages of a view (view, order, cost): each view is folded in order; an oversized row is a page of its own."""
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", page int"
-
-    def fold(pdf):
-        pdf, page, used, out = pdf.sort_values(order), 0, 0, []
-        for c in pdf[cost]:
-            if used and used + c > limit:
-                page, used = page + 1, 0
-            out.append(page)
-            used += c
-        return pdf.assign(page=out)
-
-    return rows.groupBy("view").applyInPandas(fold, schema)
