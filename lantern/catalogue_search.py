@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.adapters import feed, messages, table
+from lantern.adapters import feed, messages, shared_folder, table
 from lantern.operators import paging
 from lantern.plans import batch
 from lantern.registry import NOW, query
+from lantern.sources import archive, connector
 from lantern.streaming import recency
 
 # --- Many queries at once --------------------------------------------------------
@@ -140,3 +143,40 @@ def page_cursors(spark, d):
     """The pages of each source's documents: where each starts, what continues it, and the rows too large for any."""
     docs = table(spark, d, "documents").select(F.col("source").alias("view"), F.col("doc_id").alias("position"), F.char_length("text").alias("chars"))
     return paging.page_table(paging.pages(docs))
+
+
+# --- Sources ---------------------------------------------------------------------
+
+
+@query("select event_type, user_id as thread_id, count(*)::bigint as n, sum(event_id)::bigint as ids from events where event_id >= 100 and event_type in ('click', 'error') and value < 50 and event_type <> 'error' group by all")
+def source_filters(spark, d):
+    """The connector carries the filters on ids and types and leaves the others to Spark."""
+    archive.register(spark)
+    e = spark.read.format("evidence_table").option("path", f"{d}/events.parquet").option("searchable", "event_id,event_type").load()
+    e = e.filter("event_id >= 100 and event_type in ('click', 'error') and value < 50 and event_type <> 'error'")
+    return e.groupBy("event_type", F.col("user_id").alias("thread_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(
+    "with last as (select max(event_id) as m from events), kept as (select * from events, last where event_id > 2 * (m // 5)) select 'change' as kind, user_id::varchar as thread_id, event_type, count(*)::bigint as n, null::bigint as lost_from, null::bigint as lost_to from kept "
+    "where event_id > m // 10 group by all union all select 'resync', null, null, 1, m // 10 + 1, 2 * (m // 5) from last"
+)
+def expired_feed(spark, d):
+    """events as a feed of segments, the older two fifths of which are gone, read from a marker that is older still."""
+    archive.register(spark)
+    f = feed(spark, d)
+    m = f.agg(F.max("history_id")).first()[0]
+    path = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    archive.write_segments(f.filter(F.col("history_id") > 2 * (m // 5)), path, m // 5).collect()
+    return archive.since(spark, path, m // 10).groupBy("kind", "thread_id", "event_type", "lost_from", "lost_to").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "with c as (select conv_id as thread_id, conv_id || '-' || turn as message_id, turn as position, text, count(*) over (partition by conv_id) as n from conversations where conv_id in (select conv_id from conversations where turn = 5)) "
+    "select thread_id, message_id, position, n, substr(text, 1, 200) as content, length(text)::bigint as chars from c"
+)
+def container_items(spark, d):
+    """The threads that reached a fifth answer, whole, with the source's own count and each message's snippet."""
+    m = messages(spark, d)
+    c = connector.containers(m, m.filter("position = 5").select("thread_id"))
+    return c.join(connector.items(m, c, "snippet").drop("thread_id"), "message_id").select("thread_id", "message_id", "position", "n", "content", "chars")
