@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lantern.adapters import feed, messages, shared_folder, table
@@ -12,7 +13,7 @@ from lantern.operators import paging
 from lantern.plans import batch
 from lantern.registry import NOW, query
 from lantern.sources import archive, connector
-from lantern.streaming import recency
+from lantern.streaming import cache, recency
 
 # --- Many queries at once --------------------------------------------------------
 
@@ -180,3 +181,37 @@ def container_items(spark, d):
     m = messages(spark, d)
     c = connector.containers(m, m.filter("position = 5").select("thread_id"))
     return c.join(connector.items(m, c, "snippet").drop("thread_id"), "message_id").select("thread_id", "message_id", "position", "n", "content", "chars")
+
+
+# --- Cache -----------------------------------------------------------------------
+
+
+def cache_ops(spark, d) -> DataFrame:
+    """events as operations on a cached structure of each user: a signup writes it, a view reads it, a purchase is told by the feed, and a
+    click is a change that only a live check sees; the walk of a cheap view does not come to its end."""
+    f = feed(spark, d)
+    seen = F.max(F.when(F.col("event_type") == "click", F.col("history_id"))).over(W.partitionBy("thread_id").orderBy("history_id"))
+    op = F.when(F.col("event_type") == "signup", "put").when(F.col("event_type") == "view", "read").when(F.col("event_type") == "purchase", "change")
+    x = f.select(F.col("thread_id").alias("native_id"), F.col("history_id").alias("seq"), op.alias("op"), F.lit("structure").alias("kind"), "ts_us", F.col("history_id").alias("revision"), seen.alias("seen"), F.lit(None).cast("long").alias("oldest"), (F.col("value") >= 5).alias("complete"))
+    return x.filter("op is not null").withColumnRenamed("ts_us", "at_us")
+
+
+CACHE_SQL = """o as (select user_id as native_id, event_id as seq, event_type, ts, value, max(event_id) filter (where event_type = 'click') over (partition by user_id order by event_id) as seen from events),
+r as (select o.*, (select max(p.seq) from o p where p.native_id = o.native_id and p.seq < o.seq and p.event_type = 'signup') as put, (select max(p.seq) from o p where p.native_id = o.native_id and p.seq < o.seq and p.event_type = 'purchase') as dropped,
+    (select max(p.seq) from o p where p.native_id = o.native_id and p.seq < o.seq and p.event_type in ('signup', 'view')) as swept from o),
+t as (select r.*, p.ts as put_ts, s.ts as swept_ts from r left join o p on p.native_id = r.native_id and p.seq = r.put left join o s on s.native_id = r.native_id and s.seq = r.swept),
+held as (select *, put is not null and not coalesce(dropped > put, false) and not (swept > put and swept_ts - put_ts >= interval 24 hour) as there from t)"""
+
+
+@query(
+    f"with {CACHE_SQL}, x as (select native_id, seq, put, case when not there then 'miss' when ts - put_ts >= interval 24 hour then 'expired' when coalesce(seen > put, false) or value < 5 then 'unverified' else 'hit' end as outcome, "
+    "case when not there or ts - put_ts >= interval 24 hour then 'unstated' when coalesce(seen > put, false) then 'changed' when value < 5 then 'inconclusive' else 'unchanged' end as reason from held where event_type = 'view') "
+    "select native_id, seq, 'structure' as kind, outcome, reason, false as rebaseline, case when outcome = 'hit' then put end as revision from x"
+)
+def cache_reads(spark, d):
+    return cache.replay(cache_ops(spark, d))
+
+
+@query(f"with {CACHE_SQL} select native_id, seq, there::bigint as entries from held where event_type = 'purchase'")
+def cache_invalidations(spark, d):
+    return cache.invalidated(cache_ops(spark, d))
