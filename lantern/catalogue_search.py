@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lantern.adapters import feed, messages, shared_folder, table
-from lantern.operators import paging
+from lantern.adapters import cut, feed, messages, shared_folder, table
+from lantern.operators import identity, paging, release, rerank
 from lantern.plans import batch
 from lantern.registry import NOW, query
 from lantern.sources import archive, connector
@@ -215,3 +215,88 @@ def cache_reads(spark, d):
 @query(f"with {CACHE_SQL} select native_id, seq, there::bigint as entries from held where event_type = 'purchase'")
 def cache_invalidations(spark, d):
     return cache.invalidated(cache_ops(spark, d))
+
+
+# --- Release, identity, second tier ------------------------------------------------
+
+
+def _rests_on(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Orders as edges: each rests on its customer, read for a market segment, and on its lines' suppliers, read for their nation."""
+    c, o, li, s, n = (table(spark, d, t) for t in ("customer", "orders", "lineitem", "supplier", "nation"))
+    arr = lambda *x: F.array(*[F.col(y) for y in x])
+    none = F.array().cast("array<string>")
+    edges = o.select(F.col("o_orderkey").alias("edge_id"), "o_orderstatus")
+    by_customer = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("edge_id"), F.concat(F.lit("c"), "c_custkey").alias("node_id"), F.lit("crm").alias("connector"), F.col("c_mktsegment").alias("principal"), arr("o_orderpriority").alias("scopes"), none.alias("capability"))
+    lines = li.join(s, li["l_suppkey"] == s["s_suppkey"]).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    by_line = lines.select(F.col("l_orderkey").alias("edge_id"), F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.lit("erp").alias("connector"), F.col("n_name").alias("principal"), arr("l_returnflag").alias("scopes"), arr("l_linestatus").alias("capability"))
+    crm = c.join(o, o["o_custkey"] == c["c_custkey"]).filter("c_mktsegment <> 'BUILDING' and not (c_mktsegment = 'MACHINERY' and o_orderpriority = '1-URGENT')").select(F.lit("crm").alias("connector"), F.col("c_mktsegment").alias("principal"), arr("o_orderpriority").alias("scopes"), none.alias("capability"))
+    erp = lines.filter("n_regionkey < 4 and not (n_regionkey = 0 and l_linestatus = 'O')").select(F.lit("erp").alias("connector"), F.col("n_name").alias("principal"), arr("l_returnflag").alias("scopes"), arr("l_linestatus").alias("capability"))
+    reach = c.filter("c_acctbal > 0").select(F.concat(F.lit("c"), "c_custkey").alias("node_id")).union(s.filter("s_acctbal > -500").select(F.concat(F.lit("s"), "s_suppkey")))
+    return edges, by_customer.unionByName(by_line), crm.unionByName(erp).distinct(), reach
+
+
+RELEASE_SQL = """refs as (select o_orderkey as edge_id, 'c' || c_custkey as node_id, 'crm' as connector, c_mktsegment as principal, c_mktsegment <> 'BUILDING' and not (c_mktsegment = 'MACHINERY' and o_orderpriority = '1-URGENT') as may, c_acctbal > 0 as reach from orders join customer on o_custkey = c_custkey
+    union all select l_orderkey, 's' || s_suppkey, 'erp', n_name, n_regionkey < 4 and not (n_regionkey = 0 and l_linestatus = 'O'), s_acctbal > -500 from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
+judged as (select o_orderkey as edge_id, o_orderstatus, coalesce(min(connector || '/' || principal) filter (where not may), min(node_id) filter (where not reach), case when count(node_id) = 0 then 'none' end) as refused_by from orders left join refs on edge_id = o_orderkey group by all)"""
+
+
+@query(f"with {RELEASE_SQL} select edge_id, o_orderstatus, refused_by is null as granted, refused_by from judged")
+def released_edges(spark, d):
+    return release.release(*_rests_on(spark, d))
+
+
+@query(f"with {RELEASE_SQL} select connector, count(distinct edge_id)::bigint as n from refs where edge_id in (select edge_id from judged where refused_by is not null) group by connector")
+def withheld_by_connector(spark, d):
+    edges, refs, grants, reach = _rests_on(spark, d)
+    return release.omissions(release.release(edges, refs, grants, reach), refs)
+
+
+KEYS_SQL = """node as (select 'c' || c_custkey as node_id, c_custkey as number, c_acctbal as balance from customer union all select 's' || s_suppkey, s_suppkey, s_acctbal from supplier),
+keyed as (select node_id, 'bank' || chr(31) || 'account' || chr(31) || printf('%.2f', balance) as k from node union all select node_id, 'registry' || chr(31) || 'number' || chr(31) || number from node),
+digest as (select node_id, substr(sha256(k), 1, 12) as key from keyed),
+linked as (select distinct a.node_id as a, b.node_id as b from digest a join digest b using (key)),
+reached as (select node_id as a, node_id as b from node union select r.a, l.b from reached r join linked l on r.b = l.a),
+least as (select a as node_id, min(b) as label from reached group by a),
+ids as (select label, 'entity/' || substr(sha256(string_agg(key, chr(30) order by key)), 1, 16) as entity_id from (select distinct label, key from least join digest using (node_id)) group by label)"""
+
+
+@query(f"with recursive {KEYS_SQL} select entity_id, node_id from least join ids using (label)")
+def entity_ids(spark, d):
+    """Customers and suppliers as nodes with two keys each: an account, by its balance, and a number in a register that both share."""
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node_id"), F.col("c_custkey").alias("number"), F.col("c_acctbal").alias("balance"))
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey"), "s_suppkey", "s_acctbal")
+    n = c.union(s)
+    key = lambda connector, kind, value: n.select("node_id", F.lit(connector).alias("connector"), F.lit(kind).alias("kind"), value.alias("value"))
+    return identity.entities(key("bank", "account", F.format_string("%.2f", "balance")).union(key("registry", "number", F.col("number").cast("string"))))
+
+
+@query(
+    "with p as (select p_partkey as id, trim(regexp_replace(lower(p_brand || ' - ' || p_size), '[\\s\\p{P}]+', ' ', 'g')) as name from part), n as (select name, count(*) as n from p group by name having count(*) between 2 and 20) "
+    """select a.id::varchar as "left", b.id::varchar as "right", 'display_name' as basis, round(1.0 / max(n), 4)::double as confidence, 'candidate' as status from p a join p b on a.name = b.name and a.id::varchar < b.id::varchar join n on n.name = a.name group by a.id, b.id"""
+)
+def likeness_pairs(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("entity_id"), F.concat_ws("/", "p_brand", "p_size").alias("name"))
+    return identity.candidates(p)[0]
+
+
+RERANK_SQL = """w as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}'))) as word from documents), i as (select item_id, text as query, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}'))) as word from benchmark),
+shared as (select item_id as query_id, doc_id, count(*) as n from i join w using (word) group by all), placed as (select *, row_number() over (partition by query_id order by n desc, doc_id) as rank from shared), short as (select * from placed where rank <= 25),
+pairs as (select query_id, doc_id, rank, length(d.text) as chars, list_distinct(string_split_regex(trim(lower(b.text), chr(32) || chr(9) || chr(10)), '\\s+')) as q, string_split_regex(lower(d.text), '\\s+') as t from short join documents d using (doc_id) join benchmark b on b.item_id = query_id),
+scores as (select query_id, doc_id, rank, case when chars <= 9000 then len(list_intersect(q, t))::double / len(q) end as best from pairs)"""
+
+
+@query(
+    f"with {RERANK_SQL} select query_id, doc_id::varchar as thread_id, rank::int as rank, count(best) over w = count(*) over w as ordering_applied, "
+    "(case when count(best) over w = count(*) over w then row_number() over (partition by query_id order by best desc, doc_id::varchar) else rank end)::int as final_rank from scores window w as (partition by query_id)"
+)
+def reranked_orders(spark, d):
+    """Each benchmark passage as a query over all documents: the 25 that share most of its long words, reranked by a backend without a
+    model; documents above 9,000 characters have no text to score, and leave their query's order as it was."""
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{7,})"), F.lit(1)))).alias("word")
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    shared = docs.select("doc_id", words("text")).join(items.select(F.col("item_id").alias("query_id"), words("text")), "word").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    short = shared.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("n"), "doc_id"))).filter("rank <= 25")
+    short = cut(short.select("query_id", F.col("doc_id").cast("string").alias("thread_id"), "rank"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("thread_id"), F.when(F.char_length("text") <= 9000, F.col("text")).alias("text"))
+    pairs = short.join(texts, "thread_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id").withColumn("message_id", F.col("thread_id"))
+    return rerank.reordered(short, rerank.scored(pairs, "overlap", rerank.overlap_backend)).select("query_id", "thread_id", "rank", "ordering_applied", "final_rank")
