@@ -1,7 +1,8 @@
 """Toxicity: bags of character n-grams averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the embeddings of its hashed n-grams (and of itself), a window's the mean of its
-words', and a softmax over it says how likely the window is toxic; a document is as toxic as its worst window.
+words', and a softmax over it says how likely the window is toxic; a document is as toxic as its worst window. Windows
+are short, as one bad word makes a text toxic and would be lost in the mean of a long one.
 Embeddings and softmax are trained together, so misspellings that were never seen share vectors with their models.
 """
 
@@ -11,6 +12,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,15 @@ from lantern.llm.common import caches_of, small_batches
 WORD = re.compile(r"\w+")
 MIN_GRAM, MAX_GRAM, BUCKETS, WIDTH = 3, 5, 1 << 17, 4
 #: Words in a window; the windows of a document do not overlap.
-WINDOW = 32
-#: The sample that is fitted: so many toxic and so many clean labelled documents at most, of least hash; of a text with more
-#: characters than this, a window that begins anywhere in it, as a hash says. Scoring reads whole texts.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2_000, 3_000, 12_000
+WINDOW = 2
+#: The sample that is fitted: so many toxic and so many clean labelled documents at most, of least hash, all of their texts; a
+#: document with which the sample would have more characters than this is left out, and so teaches nothing rather than a part.
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2_000, 2_000, 15_000_000
 #: Adam: rounds on all windows and in all, first step (it falls to 0), and the ridge (shared out over the
 #: documents) that keeps down what only a few of them show.
 WARM, ROUNDS, STEP, RIDGE, SEED = 10, 60, 0.4, 0.03, 17
 #: The least share of toxic documents in the loss, and the documents an n-gram has to be in.
-SHARE, MIN_DOCS = 0.2, 3
+SHARE, MIN_DOCS = 0.35, 3
 CACHE = 200_000
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
@@ -193,7 +195,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on a bounded sample of the labelled documents that are not held out.
+    """Fits on a bounded sample of the labelled documents that are not held out, on the whole of their texts.
 
     Rows without an id or a label are passed over; of several labels for one id, the highest counts.
     """
@@ -202,9 +204,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     some = [known.filter(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     sample = F.broadcast(some[0].union(some[1]))  # TRAIN_TOXIC + TRAIN_CLEAN rows at most
-    begin = 1 + F.pmod(F.xxhash64(docs[id_col].cast("long")), F.greatest(F.char_length(docs[text_col]) - TRAIN_CHARS, F.lit(0)) + 1)
-    texts = docs.select(docs[id_col].cast("long").alias("_id"), F.substring(docs[text_col], begin.cast("int"), F.lit(TRAIN_CHARS)).alias("_text"))
-    rows = texts.join(sample, "_id").groupBy("_id").agg(F.max(F.struct("_toxic", "_text")).alias("x")).select("_id", "x.*").collect()
+    size = F.greatest(F.char_length(docs[text_col]), F.lit(0))
+    # Lengths first, TRAIN_TOXIC + TRAIN_CLEAN of them; then the texts that fit, the classes in turn.
+    lengths = docs.select(docs[id_col].cast("long").alias("_id"), size.alias("_size")).join(sample, "_id").groupBy("_id").agg(F.max("_toxic").alias("_toxic"), F.max("_size").alias("_size"), F.xxhash64("_id").alias("_hash")).collect()
+    ranked = sorted(lengths, key=lambda r: (r._hash, r._id))
+    turn = [r for pair in zip_longest(*([r for r in ranked if r._toxic == y] for y in (1, 0))) for r in pair if r]
+    chosen, held = [], 0
+    for r in turn:
+        if held + (r._size or 0) <= TRAIN_CHARS:
+            chosen.append((r._id,))
+            held += r._size or 0
+    ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_id long"))
+    texts = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text")).join(ids, "_id").join(sample, "_id")
+    rows = texts.groupBy("_id").agg(F.max(F.struct("_toxic", "_text")).alias("x")).select("_id", "x.*").collect()
     rows.sort(key=lambda r: r._id)
     return fit([r._text for r in rows], [r._toxic for r in rows])
 
