@@ -192,7 +192,11 @@ def masked_text(text: str) -> str:
 
 
 def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with personal data masked in text_col and length_col, where there is one, counted anew. Null texts stay null."""
+    """docs with personal data masked in text_col and length_col, where there is one, counted anew.
+
+    Null texts stay null, with a null length; texts are read whole, equal rows stay equal, an empty table gives an empty one. A
+    length column that holds neither numbers nor strings is another's and stays as it is, like all other columns.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     n_at = docs.columns.index(length_col) if length_col in docs.columns else -1
@@ -204,7 +208,9 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
             cols = list(batch.columns)
             cols[at] = pa.array(texts, pa.string())
             if n_at >= 0:
-                cols[n_at] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(n_at).type)
+                kind = batch.schema.field(n_at).type
+                if any(test(kind) for test in (pa.types.is_integer, pa.types.is_floating, pa.types.is_string)):
+                    cols[n_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(kind)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

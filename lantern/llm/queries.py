@@ -28,7 +28,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The captures as assembled: the main record of each page with the request and metadata records concurrent to it."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.round_trip(table(spark, sf_dir, "documents")).drop("error")
+    return media.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,8 @@ def test_pii(odd, empty):
     assert pii.masked_text("x GB82 WEST 1234 5698 7654 32 y") == "x [iban] y" and pii.luhn("4111111111111111") and not pii.mod97("GB82WEST12345698765433")
     masked = {r.doc_id: r for r in pii.mask(odd).collect()}
     assert masked[8].text.startswith("Mail [email], [card]") and masked[4].text is None
+    other = odd.select("doc_id", "text", F.col("n_chars").cast("string").alias("n_chars"), F.lit("x").alias("label"))
+    assert {r.doc_id: r.n_chars for r in pii.mask(other).collect()}[10] == "2" and pii.mask(odd.select("doc_id", "text", F.array("n_chars").alias("n_chars"))).filter("doc_id = 10").first().n_chars == [None]
     for n in ("1" * 100_000, "1." * 50_000, "a@" * 50_000, "+1" * 50_000):
         pii.base_spans(n)
 
@@ -147,6 +149,26 @@ def test_toxicity(spark, odd, empty):
     assert none.score("x") < 0.5
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_toxicity_held_out(spark):
+    """Of the given labels that are held out, nine in ten of the toxic are above all but two in a hundred of the clean; and whole texts teach."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).filter("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    clean, bad = sorted((r.score for r in rows if r.toxic == 0), reverse=True), [r for r in rows if r.toxic == 1]
+    bound = clean[len(clean) // 50]
+    assert len(bad) > 50 and sum(r.score > bound for r in bad) >= 0.9 * len(bad)
+    assert sum(r.predicted for r in bad) >= 0.8 * len(bad) and sum(r.predicted for r in rows if r.toxic == 0) <= 0.02 * len(clean)
+
+
+def test_toxicity_teaches_from_whole_texts(spark):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(words, n).tolist())
+    rows = [(i, text(9_000) + " vilewretch " + text(20) if i % 4 == 0 else text(60)) for i in range(120)]
+    m = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int"))
+    assert m.score(text(50) + " vilewretch " + text(50)) > 0.5 > m.score(text(100))
+
+
 def test_warc(spark):
     rows = [(1, "u", "a"), (2, "u", "a"), (3, None, None), (4, "v", ""), (5, "w\r\nx", "\r\n\r\nWARC/1.1\r\n" * 3), (5, "w", "z"), (None, "q", "a"), (7, "u", "é" * 9999)]
     p = spark.createDataFrame(rows, "page_id long, url string, html string")
