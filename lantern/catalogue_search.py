@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lantern.adapters import cut, feed, messages, shared_folder, table
-from lantern.operators import identity, paging, release, rerank
+from lantern.catalogue_rules import answers as answers_of_documents
+from lantern.operators import answers, disclosure, identity, paging, release, rerank
 from lantern.plans import batch
 from lantern.registry import NOW, query
 from lantern.sources import archive, connector
@@ -300,3 +301,20 @@ def reranked_orders(spark, d):
     texts = docs.select(F.col("doc_id").cast("string").alias("thread_id"), F.when(F.char_length("text") <= 9000, F.col("text")).alias("text"))
     pairs = short.join(texts, "thread_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id").withColumn("message_id", F.col("thread_id"))
     return rerank.reordered(short, rerank.scored(pairs, "overlap", rerank.overlap_backend)).select("query_id", "thread_id", "rank", "ordering_applied", "final_rank")
+
+
+# --- Answers that continue -----------------------------------------------------------
+
+
+@query(
+    "select source || '/' || (doc_id // 40) as answer, count(*) filter (where doc_id % 6 = 0) as hits, count(*) filter (where doc_id % 6 = 0) as reachable, 0::bigint as floor_lost, 0::bigint as rises, 0::bigint as vanished, 0::bigint as chars_lost from documents group by all"
+)
+def answers_reversed(spark, d):
+    """For each answer of disclosure_steps: what it shows and what its continuation expands are all its hits, to the character."""
+    rows = cut(answers_of_documents(spark, d))
+    made, out = disclosure.degrade_rows(rows)
+    made = cut(made)
+    state = cut(answers.shown(rows, made))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("message_id"), F.ceil(F.col("n_chars") / 4).alias("tokens"), F.col("n_chars").alias("chars"))
+    pages = answers.expand(answers.records(state)[0], texts)
+    return answers.broken(state, made, out, pages, texts)

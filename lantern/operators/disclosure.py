@@ -65,30 +65,6 @@ def within_budget(rows: DataFrame, budget: int) -> DataFrame:
     return rows.withColumn("running", F.sum("tokens").over(w)).filter(F.col("running") <= budget)
 
 
-def degrade(plan: DataFrame, budget: int) -> list[tuple[str, int]]:
-    """The steps of degradation on one answer's plan (band, depth, tokens, stub_tokens) until its cost fits.
-
-    Steps, in order: fill rows to stubs, hit bodies beyond the top five, floor bodies, whole non-floor rows withheld.
-    Each is one aggregate over the plan; the plan of an answer is bounded by its caps.
-    """
-    p = plan.withColumn("r", F.row_number().over(W.partitionBy("band").orderBy(F.desc("score"), "position")))
-    saved = F.col("tokens") - F.col("stub_tokens")
-    sums = p.agg(
-        F.sum("tokens").alias("all"),
-        F.sum(F.when(F.col("band") == "FILL", saved).otherwise(0)).alias("fill"),
-        F.sum(F.when((F.col("band") == "EVIDENCE") & (F.col("r") > 5), saved).otherwise(0)).alias("hits"),
-        F.sum(F.when(F.col("band") == "FLOOR", saved).otherwise(0)).alias("floor"),
-        F.sum(F.when(F.col("band") == "FILL", F.col("stub_tokens")).otherwise(0)).alias("withheld"),
-    ).first()
-    cost, steps = sums["all"] or 0, []
-    for name in ("fill", "hits", "floor", "withheld"):
-        if cost <= budget:
-            break
-        cost -= sums[name]
-        steps.append((name, cost))
-    return steps
-
-
 # Ceilings, and the prices of an answer, of a withheld record, of the best hits that stay whole.
 NORMAL, OVERFLOW, STRUCTURE, RECORD, TOP_HITS = 9_000, 12_000, 540, 60, 5
 RUN, MEMBER = 120, 3

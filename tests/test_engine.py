@@ -130,8 +130,6 @@ def test_ranking_and_disclosure(spark):
         ranking.checked(lambda t: [[math.nan]] * len(t), ["a"])
     rows = spark.createDataFrame([("T", 0, True), ("T", 1, True), ("T", 2, False), ("T", 3, True)], "thread_id string, position int, stub boolean")
     assert [tuple(r) for r in disclosure.collapsed_runs(rows).collect()] == [("T", 0, 1, 2)]
-    plan = spark.createDataFrame([("FILL", 1.0, 0, 100, 10), ("EVIDENCE", 1.0, 1, 100, 10), ("FLOOR", 0.0, 2, 100, 10)], "band string, score double, position int, tokens int, stub_tokens int")
-    assert disclosure.degrade(plan, 250) == [("fill", 210)] and disclosure.degrade(plan, 150)[-1] == ("floor", 120)
     s = spark.createDataFrame([("a", 1.0), ("a", 9.0), ("b", None)], "k string, v double")
     assert {r.k: r.p90 for r in evaluation.p90(s, "k", "v").collect()} == {"a": 9.0, "b": None}
 
