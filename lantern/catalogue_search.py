@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lantern.adapters import cut, feed, messages, shared_folder, table
 from lantern.catalogue_rules import answers as answers_of_documents
-from lantern.operators import answers, disclosure, identity, paging, release, rerank
+from lantern.operators import answers, disclosure, equivalence, expansion, identity, paging, release, rerank
 from lantern.plans import batch
 from lantern.registry import NOW, query
 from lantern.sources import archive, connector
@@ -318,3 +318,52 @@ def answers_reversed(spark, d):
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("message_id"), F.ceil(F.col("n_chars") / 4).alias("tokens"), F.col("n_chars").alias("chars"))
     pages = answers.expand(answers.records(state)[0], texts)
     return answers.broken(state, made, out, pages, texts)
+
+
+# --- Expansion and structural difference ---------------------------------------------
+
+
+@query(
+    "with m as (select conv_id, turn, role, '<' || conv_id || '.' || turn || '@x>' as header, case when turn > 0 then '<' || conv_id || '.' || (turn - 1) || '@x>' end as parent from conversations), "
+    "u as (select conv_id // 10 as query_id, conv_id || '-' || turn as child, parent as header, conv_id * 100 + turn as place from m c where role = 'assistant' and parent is not null), "
+    "p as (select *, row_number() over (partition by query_id order by place) as n from u) "
+    "select query_id, header, child as for_child_id, case when n > 4 then 'over_cap' else 'recovered' end as state, case when n <= 4 then replace(trim(header, '<>'), '.', '-').replace('@x', '') end as message_id from p"
+)
+def parent_lookups(spark, d):
+    """Ten conversations a query, of which the answers were shown: what they reply to is looked up by id, four lookups a query."""
+    m = messages(spark, d)
+    head = lambda turn: F.concat(F.lit("<"), F.col("thread_id").cast("string"), F.lit("."), turn.cast("string"), F.lit("@x>"))
+    m = m.withColumn("rfc822_message_id", head(F.col("position"))).withColumn("parent_header", F.when(F.col("position") > 0, head(F.col("position") - 1)))
+    named = m.filter("sender = 'assistant' and parent_header is not null")
+    u = named.select(F.floor(F.col("thread_id") / 10).alias("query_id"), F.col("message_id").alias("child_id"), F.col("parent_header").alias("header"), (F.col("thread_id") * 100 + F.col("position")).alias("place"))
+    return expansion.expanded(u, m).select("query_id", "header", "for_child_id", "state", "message_id")
+
+
+@query(
+    "with e as (select user_id as thread_id, event_type, ts, value from events), q as (select event_type as query_id, max(ts) - interval 36 hour as a, max(ts) as b from e group by event_type), "
+    "s as (select event_type as query_id, thread_id, 0 as priority from e where value > 60 union all select event_type, thread_id, 1 from (select thread_id, arg_min(event_type, ts) as event_type from e group by thread_id) union all select q.query_id, e.thread_id, 2 from e join q on e.ts >= q.a and e.ts < q.b) "
+    "select query_id, thread_id, min(priority)::int as priority, case min(priority) when 0 then 'touched' when 1 then 'participant' else 'recency' end as basis from s group by query_id, thread_id"
+)
+def pool_threads(spark, d):
+    """A query for each type of event: users whom a large one touched, whose first event was of the type, or who did anything in its last 36 hours."""
+    f = feed(spark, d)
+    touched = f.filter("value > 60").select(F.col("event_type").alias("query_id"), "thread_id").distinct()
+    people = f.groupBy("thread_id").agg(F.min_by("event_type", "ts_us").alias("query_id"))
+    last = f.groupBy(F.col("event_type").alias("query_id")).agg(F.max("ts_us").alias("now_us"))
+    windows = last.select("query_id", (F.col("now_us") - 36 * 3_600_000_000).alias("start_us"), F.lit(None).cast("long").alias("end_us"), "now_us")
+    return expansion.pool_scope(touched, people, f, windows)
+
+
+@query(
+    "with e as (select event_id as id, event_type as t, value as v, (props->>'k')::int as k, lead(event_type) over w as t2, lead(value) over w as v2, lead((props->>'k')::int) over w as k2, lead(event_id) over w is not null as more from events window w as (partition by user_id order by event_id)), "
+    "p as (select id, '$.type' as path, t as l, t2 as r from e where more union all select id, '$.props.k', k::varchar, k2::varchar from e where more union all select id, '$.seen[0]', (k > 50)::varchar, (k2 > 50)::varchar from e where more "
+    "union all select id, '$.seen[1]', case when v > 40 then t end, case when v2 > 40 then t2 end from e where more) select id, path, l as left_value, r as right_value from p where l is distinct from r"
+)
+def answer_differences(spark, d):
+    """Each event as a nested answer against the user's next: the paths on which they differ, with both values."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    seen = F.concat(F.array((F.col("k") > 50).cast("string")), F.when(F.col("value") > 40, F.array("event_type")).otherwise(F.array().cast("array<string>")))
+    e = e.withColumn("payload", F.to_json(F.struct(F.col("event_type").alias("type"), F.struct("k").alias("props"), seen.alias("seen"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("map_id"))))
+    two = cut(e.select(F.col("event_id").alias("id"), "payload", F.lead("payload").over(W.partitionBy("user_id").orderBy("event_id")).alias("next")).filter("next is not null"))
+    side = lambda c: two.select("id", equivalence.normalised(F.col(c)).alias("payload"))
+    return equivalence.compare(side("payload"), side("next"))
