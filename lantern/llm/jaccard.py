@@ -471,30 +471,27 @@ def _split(region: DataFrame, members: DataFrame, stored: int, percent: int, lin
 
 
 def _cells(region: DataFrame, chosen: DataFrame, met: DataFrame, dist: DataFrame, radius: float, label: DataFrame) -> DataFrame:
-    """The cells of the pivots: who is at home there, and guests, but for pairs that were measured.
+    """The cells of each region's pivots: who is at home there, and guests, but for pairs that were measured.
 
-    Two members of a region that are no pivots of it meet in the home of either. A guest of a pivot it was measured
-    against comes in if its distance is within the radius of the distances that members at home have: else
+    A member that is no pivot is at home with the nearest pivot of its region. It is a guest of another if its distance is within
+    the radius of the distances that members at home have, and at most twice the radius more than that to its own: else
     none of them can be within the radius of it. Where all at home are of its component, it does not come in. Cells of
     one component need no further work.
     """
     ends = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")]
-    near = met.select("rep", "pivot", *ends).distinct().join(dist, ["a", "b"]).select("rep", "pivot", "d")
-    near = written(near, "jaccard-near")
-    home = near.groupBy("rep").agg(F.min(F.struct("d", "pivot")).alias("x")).select("rep", F.col("x.pivot").alias("cell"), F.col("x.d").alias("d"))
+    near = met.join(chosen.select("region", F.col("pivot").alias("rep")), ["region", "rep"], "left_anti").select("region", "rep", "pivot", *ends)
+    near = near.join(dist, ["a", "b"]).join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
+    near = written(near.select("region", "rep", "pivot", "d", F.coalesce("component_id", "rep").alias("label")), "jaccard-near")
+    home = near.groupBy("region", "rep").agg(F.min(F.struct("d", "pivot", "label")).alias("x")).select("region", "rep", "x.*")
     home = written(home, "jaccard-homes")
-    reach = home.groupBy("cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    inside = region.join(chosen.select("region", F.col("pivot").alias("rep")), ["region", "rep"], "left_anti")
-    inside = inside.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left").withColumn("label", F.coalesce("component_id", "rep"))
-    inside = inside.join(home.select("rep", F.col("cell").alias("own")), "rep", "left").select("region", "rep", "label", "own")
-    homes = inside.filter("own is not null").groupBy("region", F.col("own").alias("cell")).agg(F.min("label").alias("least"), F.max("label").alias("most")).withColumnRenamed("region", "at")
-    # A guest has nothing to find where all who are at home are of its own component.
-    news = (F.col("own") == F.col("cell")) | (F.col("least") != F.col("label")) | (F.col("most") != F.col("label"))
-    enter = inside.join(homes, (F.col("region") == F.col("at")) & (F.col("rep") != F.col("cell")) & F.coalesce(news, F.lit(True))).select("rep", "cell", "label").distinct()
-    enter = enter.join(near.select("rep", F.col("pivot").alias("cell"), "d"), ["rep", "cell"], "left").join(reach, "cell")
+    reach = home.groupBy("region", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("label").alias("least"), F.max("label").alias("most"))
+    own = home.select("region", "rep", F.col("pivot").alias("own"), F.col("d").alias("own_d"))
+    enter = near.join(reach, ["region", "pivot"]).join(own, ["region", "rep"])
     eps = 1e-9
-    stays = enter.filter(F.col("d").isNull() | F.col("d").between(F.col("lo") - radius - eps, F.col("hi") + radius + eps))
-    stays = written(stays.select(F.col("cell").alias("region"), "rep", "label"), "jaccard-cells")
+    window = F.col("d").between(F.col("lo") - radius - eps, F.col("hi") + radius + eps) & (F.col("d") - F.col("own_d") <= 2 * radius + eps)
+    news = (F.col("least") != F.col("label")) | (F.col("most") != F.col("label"))
+    stays = enter.filter((F.col("own") == F.col("pivot")) | (window & news))
+    stays = written(stays.select(F.xxhash64("region", "pivot").alias("region"), "rep", "label"), "jaccard-cells")
     mixed = stays.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("region")
     out = written(_once(stays.join(mixed, "region").select("region", "rep")), "jaccard-regions")
     for used in (near, home, stays):
