@@ -98,7 +98,7 @@ def content_token_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"))
 
 
-@query(f"with w as (select doc_id, unnest(list_transform(regexp_extract_all(lower(text), '[a-z0-9_''/@.-]+'), lambda x: regexp_replace(x, '[.-]+$', ''))) as term from documents) select term, count(*)::bigint as n from w where regexp_matches(term, '[a-z0-9]') and term not in ({', '.join(repr(s) for s in T.STOPWORDS)}) group by term having count(*) >= 20")
+@query(f"with w as (select doc_id, unnest(list_transform(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_''/@.-]+'), lambda x: regexp_replace(x, '[.-]+$', ''))) as term from documents) select term, count(*)::bigint as n from w where regexp_matches(term, '[\\p{{L}}\\p{{N}}]') and term not in ({', '.join(repr(s) for s in T.STOPWORDS)}) group by term having count(*) >= 20")
 def stopword_filtered_terms(spark, d):
     w = table(spark, d, "documents").select(F.explode(T.content_tokens(F.col("text"))).alias("term"))
     return w.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")

@@ -39,17 +39,22 @@ def lower_collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r\f\x0B]+", " "))
 
 
+def case_folded(c: Column) -> Column:
+    """Case folding in expressions: lower case, a sharp s as ss, a final sigma as any other."""
+    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
 def has_word(c: Column, word: str) -> Column:
     """Whether the text holds the word whole, in any case: no letter, mark, digit or underscore of any script beside it."""
-    w = re.escape(word.lower())
-    return F.lower(c).rlike(rf"(^|{EDGE}){w}({EDGE}|$)")
+    w = re.escape(word.casefold())
+    return case_folded(c).rlike(rf"(^|{EDGE}){w}({EDGE}|$)")
 
 
 def content_tokens(c: Column) -> Column:
-    """Words of a text in order, trimmed of trailing dots and dashes, without stop words."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9_'/@.-]+)"), F.lit(1))
+    """Words of a text of any script in order, case-folded, trimmed of trailing dots and dashes, without stop words."""
+    found = F.regexp_extract_all(case_folded(c), F.lit(r"([\p{L}\p{N}_'/@.-]+)"), F.lit(1))
     trimmed = F.transform(found, lambda w: F.regexp_replace(w, r"[.-]+$", ""))
-    return F.filter(trimmed, lambda w: w.rlike("[a-z0-9]") & ~w.isin(STOPWORDS))
+    return F.filter(trimmed, lambda w: w.rlike(r"[\p{L}\p{N}]") & ~w.isin(STOPWORDS))
 
 
 def count_tokens(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_CANDIDATES = 4
-URL = r"https?://[^\s\"'<>)\]]+"
+URL = r"(?i:https?)://[^\s\"'<>)\]]+"
 
 
 def observed_edges(links: DataFrame, participants: DataFrame) -> DataFrame:

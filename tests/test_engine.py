@@ -10,6 +10,7 @@ from datetime import UTC, datetime
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lantern import catalogue
 from lantern.functions import text as T
@@ -154,3 +155,11 @@ def test_catalogue(spark, duck, name):
     got = catalogue.QUERIES[name](spark, SF).toPandas()
     if name in catalogue.ORACLE:
         assert _rows(got) == _rows(duck.execute(catalogue.ORACLE[name]).df())
+
+
+def test_words_of_any_script(spark):
+    row = spark.createDataFrame([("café naïve STRASSE über, ΟΔΟΣ the 10.5. HTTPS://X.example/a http://y.example/b",)], "t string")
+    got = row.select(T.content_tokens(F.col("t")), *(T.has_word(F.col("t"), w) for w in ("Straße", "strasse", "naïve", "na", "οδός".replace("ό", "ο"), "stras"))).first()
+    assert list(got)[0][:6] == ["café", "naïve", "strasse", "über", "οδοσ", "10.5"] and list(got)[1:] == [True, True, True, False, True, False]
+    nodes = row.select(F.lit("n").alias("node_id"), F.col("t").alias("text"))
+    assert sorted(r.url for r in graph.link_edges(nodes, spark.createDataFrame([("http://y.example/b", "k")], "url string, node_id string")).collect()) == ["HTTPS://X.example/a", "http://y.example/b"]
