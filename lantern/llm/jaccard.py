@@ -44,6 +44,8 @@ RUN, HOT = 1 << 19, 32
 GROUPS, SALTS = 4, 4096
 #: Rounds of cells, and what a task holds of a cell, and a pivot of a region is there for: members, and their shingles.
 ROUNDS, BLOCK, BLOCK_SHINGLES = 3, 2048, 1 << 21
+#: Sets that one exchange of cells moves, by the sets that are stored.
+PIECE = 2
 #: Bits of the screen for documents whose sets are wanted again.
 SCREEN = 1 << 22
 #: Two hashes of all columns of a row, which tell rows apart that share an id or have none.
@@ -447,7 +449,7 @@ def _parts(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
         old, region = region, written(rest.union(cells.select(F.xxhash64(F.lit(n), "region").alias("region"), "rep")), "jaccard-regions")
         for used in (old, large, cells):
             discard(used)
-    links = written(links.union(_in_tasks(region, members, label, percent)), "jaccard-links")
+    links = written(links.union(_in_tasks(region, members, stored, label, percent)), "jaccard-links")
     discard(members)
     part = components(links)
     least = reps.select("rep", "key", "least").join(part.withColumnRenamed("id", "rep"), "rep", "left")
@@ -531,7 +533,7 @@ def _links_in(percent: int):
     return links
 
 
-def _in_tasks(region: DataFrame, members: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def _in_tasks(region: DataFrame, members: DataFrame, stored: int, label: DataFrame, percent: int) -> DataFrame:
     """a, b: links that are left in regions, each joined in one task, or in blocks of bounded size, each block with each."""
     own = label.select(F.col("id").alias("rep"), "component_id")
     held = region.join(members.select("rep", "n"), "rep").join(own, "rep", "left").select("region", "rep", "n", F.coalesce("component_id", "rep").alias("label"))
@@ -539,8 +541,16 @@ def _in_tasks(region: DataFrame, members: DataFrame, label: DataFrame, percent:
     held = held.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side")
-    held = held.select("rep", "label", "region", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), side)
-    return held.join(members.select("rep", "shingles"), "rep").groupBy("region", "b0", "b1").applyInArrow(_links_in(percent), "a long, b long")
+    held = written(held.select("rep", "label", "region", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), side), "jaccard-held")
+    # A row moves a whole set, so the rows of one exchange are bounded by the sets on disk, as in _distances().
+    pieces = max(1, -(-held.count() // max(1, PIECE * stored)))
+    spark, root = held.sparkSession, fresh_dir(held.sparkSession, "jaccard-in-tasks")
+    for k in range(pieces):
+        some = held.filter(F.pmod(F.xxhash64("region", "b1", "b0"), F.lit(pieces)) == k).join(members.select("rep", "shingles"), "rep")
+        some.groupBy("region", "b0", "b1").applyInArrow(_links_in(percent), "a long, b long").write.mode("append").parquet(root)
+        release(spark)
+    discard(held)
+    return spark.read.schema("a long, b long").parquet(root)
 
 
 def _row_hashes(docs: DataFrame, names: list[str] | tuple[str, ...] = ROW) -> list[Column]:
