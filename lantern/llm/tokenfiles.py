@@ -201,15 +201,20 @@ class Encoder:
         return [x.tobytes() for x in out]
 
 
+#: A worker's encoders. The driver puts none here: where executors lack this module, its tables (87 MB) would go to tasks with their code.
 _encoders: dict[str, Encoder] = {}
 
 
+def _load(path: str) -> Encoder:
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Encoder(path)
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = Encoder(path)
+        _encoders[path] = _load(path)
     return _encoders[path]
 
 
@@ -224,7 +229,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     begin = 1 + F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.greatest(F.char_length("text") - WINDOW, F.lit(0)) + 1)
     texts = texts.groupBy("doc_id").agg(F.max(F.substring("text", begin.cast("int"), F.lit(WINDOW))).alias("text"))
     rows = sorted(texts.collect(), key=lambda r: r.doc_id)
-    samples = [x for x in encoder(path).encode(pa.array([r.text for r in rows], pa.string())) if x]
+    samples = [x for x in _load(path).encode(pa.array([r.text for r in rows], pa.string())) if x]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:

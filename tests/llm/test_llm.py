@@ -35,6 +35,20 @@ def empty(odd):
     return odd.limit(0)
 
 
+def test_token_files_ship_no_encoder(odd):
+    """Where executors lack the module, it goes to them by value, so the driver's encoder must not be in it."""
+    from pyspark import cloudpickle
+
+    tokenfiles._encoders.clear()
+    tokenfiles.round_trip(odd).count()
+    assert not tokenfiles._encoders
+    cloudpickle.register_pickle_by_value(tokenfiles)
+    try:
+        assert len(cloudpickle.dumps(tokenfiles.encoder)) < 1_000_000
+    finally:
+        cloudpickle.unregister_pickle_by_value(tokenfiles)
+
+
 def test_bpe(odd, empty):
     from tokenizers import Tokenizer
 
