@@ -33,6 +33,8 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2_000, 2_000, 15_000_000
 WARM, ROUNDS, STEP, RIDGE, SEED = 10, 60, 0.4, 0.03, 17
 #: The least share of toxic documents in the loss, and the documents an n-gram has to be in.
 SHARE, MIN_DOCS = 0.35, 3
+#: Words of the sample, and distinct words, that are worked on at once.
+BLOCK, PIECE = 100_000, 10_000
 CACHE = 200_000
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
@@ -129,56 +131,74 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     """
     rng = np.random.default_rng(SEED)
     ids: dict[str, int] = {}
-    occurrence, window_of, doc_of, labels = array("q"), array("q"), array("q"), []
+    occurrence, words_in, labels = array("i"), array("i"), []
     for text, y in zip(texts, toxic, strict=True):
         words = words_of(text)
-        for i in range(0, len(words), WINDOW):
-            some = words[i : i + WINDOW]
-            occurrence.extend(ids.setdefault(w, len(ids)) for w in some)
-            window_of.extend([len(doc_of)] * len(some))
-            doc_of.append(len(labels))
+        occurrence.extend(ids.setdefault(w, len(ids)) for w in words)
         if words:
+            words_in.append(len(words))
             labels.append(y)
     y = np.array(labels, int)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 4.0 if len(y) and y[0] else -4.0)
-    gram, owner = grams(list(ids))
-    share_of_gram = 1 / np.bincount(owner, minlength=len(ids))
-    occ, win, doc = (np.frombuffer(x, np.int64) for x in (occurrence, window_of, doc_of))
-    docs_of_word = np.bincount(np.unique(doc[win] * len(ids) + occ) % len(ids), minlength=len(ids))
-    common = np.bincount(gram, docs_of_word[owner], BUCKETS) >= MIN_DOCS
-    shown = common[gram]
-    gram, owner = gram[shown], owner[shown]
-    used = np.unique(gram)
-    place = np.searchsorted(used, gram)
-    del gram, shown
-    win_len, n_win = np.bincount(win).astype(float), np.bincount(doc)
-    doc_start = np.searchsorted(doc, np.arange(len(y)))
-    bad = y[doc] == 1
+    occ, size, n = np.frombuffer(occurrence, np.int32), np.frombuffer(words_in, np.int32).astype(np.int64), len(ids)
+    # Blocks of whole documents and pieces of the words: nothing is as long as the sample but its words' numbers.
+    first_word = np.append(0, np.cumsum(size))
+    cuts = [0]
+    while cuts[-1] < len(size):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(first_word, first_word[cuts[-1]] + BLOCK, side="right")) - 1))
+    blocks = list(zip(cuts[:-1], cuts[1:], strict=True))
+    docs_of_word = np.zeros(n, np.int64)
+    for i, j in blocks:
+        pairs = np.unique(np.repeat(np.arange(j - i), size[i:j]) * n + occ[first_word[i] : first_word[j]])
+        docs_of_word += np.bincount(pairs % n, minlength=n)
+    names, docs_of_gram, pieces = list(ids), np.zeros(BUCKETS), []
+    del ids
+    for k in range(0, n, PIECE):
+        gram, owner = grams(names[k : k + PIECE])
+        docs_of_gram += np.bincount(gram, docs_of_word[k : k + PIECE][owner], BUCKETS)
+    used = np.flatnonzero(docs_of_gram >= MIN_DOCS)
+    for k in range(0, n, PIECE):
+        gram, owner = grams(names[k : k + PIECE])
+        m, shown = len(names[k : k + PIECE]), docs_of_gram[gram] >= MIN_DOCS
+        pieces.append((k, m, np.searchsorted(used, gram[shown]).astype(np.int32), owner[shown].astype(np.int32), 1 / np.bincount(owner, minlength=m)))
+    del names
 
     def words_from(emb: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(owner, r[place], len(ids)) * share_of_gram for r in emb])
+        return np.concatenate([np.stack([np.bincount(owner, r[place], m) * share for r in emb]) for _, m, place, owner, share in pieces], axis=1)
 
-    # One dimension at a time: what is as long as the words of the sample is held once, not WIDTH times.
-    add = lambda at, x, frm, n: np.stack([np.bincount(at, r[frm], n) for r in x])
     emb, soft, bias = rng.normal(size=(WIDTH, len(used))) * 0.01, rng.normal(size=(WIDTH, 2)), np.zeros(2)
     means, squares = [[np.zeros_like(q) for q in (emb, soft, bias)] for _ in range(2)]
     share = max(SHARE, y.mean())
+    # The weights of a document's windows add up to 1, so these are shared among the documents of each class.
+    of_doc = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
     for t in range(ROUNDS):
-        h = add(win, words_from(emb), occ, len(doc)) / win_len
-        logit = soft.T @ h + bias[:, None]
-        p = 1 / (1 + np.exp(np.clip(logit[0] - logit[1], -30, 30)))
-        weight = 1 / n_win[doc]
-        if t >= WARM:
-            worst = np.maximum.reduceat(p, doc_start)
-            first = np.zeros(len(p))
-            first[np.minimum.reduceat(np.where(p >= worst[doc], np.arange(len(p)), len(p) - 1), doc_start)] = 1
-            weight = np.where(bad, first, 0.5 * weight + 0.5 * first)
-        weight = np.where(bad, share / weight[bad].sum(), (1 - share) / weight[~bad].sum()) * weight
-        d = (p - bad) * weight
-        d2 = np.stack([-d, d])
-        dword = add(occ, (soft @ d2) / win_len, win, len(ids)) * share_of_gram
-        grads = [add(place, dword, owner, len(used)), h @ d2.T, d2.sum(1)]
+        vectors = words_from(emb)
+        dword, grads = np.zeros_like(vectors), [np.zeros_like(emb), np.zeros_like(soft), np.zeros_like(bias)]
+        for i, j in blocks:
+            some, n_win = occ[first_word[i] : first_word[j]], -(-size[i:j] // WINDOW)
+            doc, doc_start = np.repeat(np.arange(j - i), n_win), np.cumsum(n_win) - n_win
+            start = (first_word[i:j] - first_word[i])[doc] + (np.arange(len(doc)) - doc_start[doc]) * WINDOW
+            win_len = np.diff(np.append(start, len(some)))
+            h = np.add.reduceat(vectors[:, some], start, axis=1) / win_len
+            logit = soft.T @ h + bias[:, None]
+            p = 1 / (1 + np.exp(np.clip(logit[0] - logit[1], -30, 30)))
+            bad, weight = y[i:j][doc] == 1, 1 / n_win[doc]
+            if t >= WARM:
+                worst = np.maximum.reduceat(p, doc_start)
+                first = np.zeros(len(p))
+                first[np.minimum.reduceat(np.where(p >= worst[doc], np.arange(len(p)), len(p) - 1), doc_start)] = 1
+                weight = np.where(bad, first, 0.5 * weight + 0.5 * first)
+            d = (p - bad) * weight * of_doc[i:j][doc]
+            d2 = np.stack([-d, d])
+            back = np.repeat((soft @ d2) / win_len, win_len, axis=1)
+            for r, x in zip(dword, back, strict=True):
+                r += np.bincount(some, x, n)
+            grads[1] += h @ d2.T
+            grads[2] += d2.sum(1)
+        for k, m, place, owner, part in pieces:
+            for r, x in zip(grads[0], dword[:, k : k + m] * part, strict=True):
+                r += np.bincount(place, x[owner], len(used))
         grads[0] += RIDGE / len(y) * emb
         pace = STEP * (1 - t / ROUNDS)
         for q, g, m, v in zip((emb, soft, bias), grads, means, squares, strict=True):

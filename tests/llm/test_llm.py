@@ -49,6 +49,29 @@ def test_token_files_ship_no_encoder(odd):
         cloudpickle.unregister_pickle_by_value(tokenfiles)
 
 
+def test_toxicity_fits_in_blocks(monkeypatch):
+    """What the driver holds grows by a few bytes with a word of the sample, not by what a round of the fit computes; blocks change no score."""
+    import tracemalloc
+
+    def peak(docs):
+        texts = [" ".join(f"w{(i * 31 + k * 7) % 900}" for k in range(2_000)) + (" vile" if i % 2 else "") for i in range(docs)]
+        tracemalloc.start()
+        toxicity.fit(texts, [i % 2 for i in range(docs)])
+        out = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out
+
+    monkeypatch.setattr(toxicity, "ROUNDS", 12)
+    assert peak(320) - peak(80) < 16 * 240 * 2_000
+    texts = [f"{TEXT} number {i} {'vile idiots' if i % 3 == 0 else 'kind people'}" for i in range(60)]
+    fitted = []
+    for block, piece in ((100_000, 10_000), (1, 7)):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        fitted.append(toxicity.fit(texts, [int(i % 3 == 0) for i in range(60)]).scores(texts))
+    assert np.allclose(*fitted, atol=1e-6)
+
+
 def test_bpe(odd, empty):
     from tokenizers import Tokenizer
 
