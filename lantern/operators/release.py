@@ -1,15 +1,15 @@
 """What may be shown: edges released only if all that they rest on is granted now, and graphs kept for a while, by version.
 
 An edge rests on references: items read under a connector, for a principal, with scopes and capabilities. It is released if every
-one of these is in the grant that the principal holds now and every item can be reached now. That is a division of
-relations, done by two anti-joins: what is needed and not granted, and what is referred to and not reachable.
+one of these is in the grant that the principal holds now and every item can be reached now. The references are read once, each
+beside what its principal holds and whether its item is reached, and an edge's are then judged together.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.adapters import cut
@@ -19,12 +19,14 @@ KEPT_MINUTES = 10
 PARTS = 64
 
 
-def _needs(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, connector, principal, what, value: each scope and capability, and that there is a grant at all."""
-    empty = F.array().cast("array<string>")
-    of = lambda c, name: F.transform(F.coalesce(c, empty), lambda v: F.struct(F.lit(name).alias("what"), v.alias("value")))
-    each = F.concat(F.array(F.struct(F.lit("grant").alias("what"), F.lit("").alias("value"))), of(F.col("scopes"), "scope"), of(F.col("capability"), "capability"))
-    return rows.select(*keys, "connector", "principal", F.explode(each).alias("x")).select(*keys, "connector", "principal", "x.*").distinct()
+def _full(c) -> Column:
+    return F.coalesce(c, F.array().cast("array<string>"))
+
+
+def _held(grants: DataFrame) -> DataFrame:
+    """connector, principal, _scopes, _capability: all that a principal holds, rows added up; null scopes are none."""
+    all_of = lambda c: F.filter(F.array_distinct(F.flatten(F.collect_set(_full(c)))), lambda v: v.isNotNull())
+    return grants.groupBy("connector", "principal").agg(all_of(F.col("scopes")).alias("_scopes"), all_of(F.col("capability")).alias("_capability"))
 
 
 def requirements(references: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def requirements(references: DataFrame) -> DataFrame:
     references: edge_id, node_id, connector, principal, scopes, capability. Arrays are sorted sets, so equal references give equal rows;
     null arrays are empty ones. The digest is for cache keys and gives no right.
     """
-    all_of = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast("array<string>"))))))
+    all_of = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(_full(c)))))
     out = references.groupBy("edge_id", "connector", "principal").agg(all_of(F.col("scopes")).alias("scopes"), all_of(F.col("capability")).alias("capability"), F.sort_array(F.collect_set("node_id")).alias("applies_to"))
     written = F.concat_ws("\x1f", "connector", "principal", F.array_join("scopes", "\x1e"), F.array_join("capability", "\x1e"))
     return out.withColumn("digest", F.substring(F.sha2(written, 256), 1, 12))
@@ -45,12 +47,14 @@ def release(edges: DataFrame, references: DataFrame, grants: DataFrame, reachabl
     grants: connector, principal, scopes, capability held now (rows of one principal add up); reachable: node_id. A null connector
     or principal is in no grant, a null node is never reachable. refused_by is for accounts, not for the reader.
     """
-    have = _needs(grants)
-    missing = _needs(references, "edge_id").join(have, ["connector", "principal", "what", "value"], "left_anti")
-    denied = missing.groupBy("edge_id").agg(F.min(F.concat_ws("/", "connector", "principal")).alias("_denied"))
-    lost = references.join(reachable.select("node_id").distinct(), "node_id", "left_anti").groupBy("edge_id").agg(F.min(F.coalesce(F.col("node_id").cast("string"), F.lit(""))).alias("_lost"))
-    based = references.select("edge_id", F.lit(True).alias("_based")).distinct()
-    out = edges.join(based, "edge_id", "left").join(denied, "edge_id", "left").join(lost, "edge_id", "left")
+    lacks = lambda c, held: F.size(F.array_except(_full(c), held)) > 0
+    denied = F.when(F.col("_scopes").isNull() | lacks(F.col("scopes"), F.col("_scopes")) | lacks(F.col("capability"), F.col("_capability")), F.concat_ws("/", "connector", "principal"))
+    each = references.join(_held(grants), ["connector", "principal"], "left").select("edge_id", "node_id", denied.alias("_denied"))  # no array goes further
+    reached = reachable.select("node_id").distinct().withColumn("_reached", F.lit(True))
+    lost = F.when(F.col("_reached").isNull(), F.coalesce(F.col("node_id").cast("string"), F.lit("")))
+    each = each.join(reached, "node_id", "left").select("edge_id", "_denied", lost.alias("_lost"))
+    judged = each.groupBy("edge_id").agg(F.min("_denied").alias("_denied"), F.min("_lost").alias("_lost")).withColumn("_based", F.lit(True))
+    out = edges.join(judged, "edge_id", "left")
     by = F.when(F.col("_based").isNull(), "none").otherwise(F.coalesce("_denied", "_lost"))
     return out.select(*edges.columns, by.isNull().alias("granted"), by.alias("refused_by"))
 

@@ -33,6 +33,18 @@ def test_release(spark):
     assert {r.connector: r.n for r in out.filter("connector is not null").collect()} == {"mail": 4, "drive": 1} and release.release(edges.limit(0), refs, spark.createDataFrame(grants, GRANT), reach).count() == 0
 
 
+def test_release_reads_references_once(spark, tmp_path):
+    """However many requirements there are, the references are read and exploded no more than once; odd grants hold nothing by accident."""
+    rows = [("e1", "n1", "mail", "amy", ["a", None], []), ("e2", "n1", "mail", "amy", None, None), ("e3", "n1", "mail", "amy", ["b", "a"], ["c"]), ("e3", "n2", "mail", None, [], []), ("e4", "n1", "crm", "amy", ["a"], [])]
+    spark.createDataFrame(rows, REF).write.parquet(str(tmp_path / "refs"))
+    refs, edges = spark.read.parquet(str(tmp_path / "refs")), spark.createDataFrame([(f"e{i}",) for i in range(1, 6)], "edge_id string")
+    grants = spark.createDataFrame([("mail", "amy", ["a", None], ["c"]), ("mail", "amy", ["b"], None), ("mail", None, ["a"], [])], GRANT)
+    out = release.release(edges, refs, grants, spark.createDataFrame([("n1",), ("n1",)], "node_id string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [edge_id") == 1 and "Generate" not in plan
+    assert {r.edge_id: r.refused_by for r in out.collect()} == {"e1": "mail/amy", "e2": None, "e3": "mail", "e4": "crm/amy", "e5": "none"}
+
+
 def test_graph_store(spark, tmp_path):
     store, t0 = release.GraphStore(str(tmp_path / "g"), parts=8), datetime(2026, 3, 1, 12)
     rows = lambda ids, at, v: spark.createDataFrame([(i, at, f"{v}-{i}-{k}") for i in ids for k in range(2)], "query_id string, built_at timestamp, node_id string")
