@@ -27,7 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Tables of whole texts, and the rows of one that Python is handed at once; Spark's 10,000 would put 10,000 texts into each worker.
+TEXTS, ARROW_ROWS = ("documents", "pages", "conversations"), 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in TEXTS and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

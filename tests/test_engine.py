@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lantern import catalogue
+from lantern.adapters import table
 from lantern.functions import text as T
 from lantern.operators import disclosure, evaluation, graph, ledger, ranking, structure
 from lantern.plans import ladder
@@ -163,3 +164,11 @@ def test_words_of_any_script(spark):
     assert list(got)[0][:6] == ["café", "naïve", "strasse", "über", "οδοσ", "10.5"] and list(got)[1:] == [True, True, True, False, True, False]
     nodes = row.select(F.lit("n").alias("node_id"), F.col("t").alias("text"))
     assert sorted(r.url for r in graph.link_edges(nodes, spark.createDataFrame([("http://y.example/b", "k")], "url string, node_id string")).collect()) == ["HTTPS://X.example/a", "http://y.example/b"]
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    """A worker holds a few hundred texts at once, whatever their number."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.range(2_000).coalesce(1).selectExpr("id as doc_id", "'x' as text").write.parquet(str(tmp_path / "documents.parquet"))
+    size = F.pandas_udf(lambda s: s.map(lambda _: len(s)), "long")
+    assert table(spark, str(tmp_path), "documents").select(size("text").alias("n")).agg(F.max("n")).first()[0] <= 512
