@@ -9,10 +9,12 @@ nothing are all at Jaccard distance 1, so document pivots alone would leave one
    Differences spoil one part each, so linked sets are equal in some part: its content is a pivot, and the sets at
    distance 0 from it in that part are a region. How many such pivots a set must share with others, if it has a
    link at all, follows from its size; sets that share fewer leave before any set is moved.
-3. Inside a region documents are pivots, as many as its size asks for: members are measured against them exactly. The
-   nearest of all pivots that a member has met, in whichever region, is its home; a cell has those at home with a pivot,
-   and as guests all who share a region with one of them, where the triangle inequality does not rule out a link. So the
-   many regions that a group of near copies shares become a cell or two.
+3. Inside a region documents are pivots, as many as its size asks for: members are measured against them exactly. Those
+   that share the most with others come first, so that a text with many near copies is their pivot although the copies are
+   too far from each other. The nearest of all pivots that a member has met, in whichever region, is its home; a cell has
+   those at home with a pivot, and as guests all who share a region with one of them, where the triangle inequality does not
+   rule out a link. So the many regions that a group of near copies shares become a cell or two. A region whose members
+   are at home in more than HOMES cells is a cell itself, so that a member never enters more than so many from a region.
 4. Cells are regions again, with pivots anew, until they are known to be one component, or fit a task: there members
    are pivots in turn, each for all members of other components. A cell that pivots don't split any more goes to tasks in
    blocks, each with each.
@@ -44,6 +46,8 @@ RUN, HOT = 1 << 19, 32
 GROUPS, SALTS = 4, 4096
 #: Rounds of cells, and what a task holds of a cell, and a pivot of a region is there for: members, and their shingles.
 ROUNDS, BLOCK, BLOCK_SHINGLES = 3, 2048, 1 << 21
+#: Homes that the members of a region may have for it to be dealt to their cells; with more it stays whole, as a cell.
+HOMES = 4
 #: Bits of the screen for documents whose sets are wanted again.
 SCREEN = 1 << 22
 #: Two hashes of all columns of a row, which tell rows apart that share an id or have none.
@@ -321,23 +325,23 @@ def _members(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
 
 
 def _regions(shared: DataFrame, reps: DataFrame) -> DataFrame:
-    """region, rep: the members of the regions with two members at least; of equal regions, one.
+    """region, rep, n, weight: the members of the regions with two members at least; of equal regions, one.
 
-    Guests that share fewer pivots than a link would make them share are left out, and the others enter the smallest regions
+    A member's weight is the members, added up, of all regions that its guest shares. Guests that share fewer pivots than a link would make them share are left out, and the others enter the smallest regions
     only: as many as it takes to meet the other side of any link in one. Should two sets have a guest's number
     in common, both are members: regions may be too large, never too small.
     """
-    guests = reps.select("rep", F.explode(F.arrays_zip("guests", "shares")).alias("g")).select("rep", F.col("g.guests").alias("guest"), F.col("g.shares").alias("share"))
+    guests = reps.select("rep", "n", F.explode(F.arrays_zip("guests", "shares")).alias("g")).select("rep", "n", F.col("g.guests").alias("guest"), F.col("g.shares").alias("share"))
     met = shared.groupBy("guest").agg(F.count(F.lit(1)).alias("met"))
     alive = written(guests.join(met, "guest").filter("met >= share"), "jaccard-alive")
-    posted = written(shared.join(alive, "guest").select("region", "guest", "rep", "share").distinct(), "jaccard-posted")
+    posted = written(shared.join(alive, "guest").select("region", "guest", "rep", "n", "share").distinct(), "jaccard-posted")
     discard(alive)
     # Of the pivots that a link shares, the one of the smallest region is among the first so many of either side's, by size.
     sizes = posted.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     own = W.partitionBy("guest", "rep")
     ranked = posted.join(sizes, "region").withColumn("place", F.row_number().over(own.orderBy("size", "region")))
-    first = ranked.withColumn("all", F.count(F.lit(1)).over(own)).filter("place <= all - share + 1")
-    out = written(first.select("region", "rep"), "jaccard-first")
+    first = ranked.withColumn("all", F.count(F.lit(1)).over(own)).withColumn("weight", F.sum("size").over(own)).filter("place <= all - share + 1")
+    out = written(first.select("region", "rep", "n", "weight"), "jaccard-first")
     discard(posted)
     posted, out = out, written(_once(out), "jaccard-regions")
     discard(posted)
@@ -345,10 +349,10 @@ def _regions(shared: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _once(members: DataFrame) -> DataFrame:
-    """region, rep: of regions with the same members, one; regions of one member go."""
+    """The rows of regions of two members at least; of regions with the same members, one."""
     facts = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(7, rep))").alias("y"))
     once = facts.filter("n > 1").groupBy("n", "x", "y").agg(F.min("region").alias("region")).select("region")
-    return members.join(once, "region").select("region", "rep")
+    return members.join(once, "region").select(*members.columns)
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -408,12 +412,12 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
 def _pivots(region: DataFrame) -> DataFrame:
     """region, pivot: a pivot, and one more for each BLOCK members, so that cells may fit a task; without ordering a region.
 
-    A region's members are dealt to as many slots, and each slot's least member is a pivot.
+    A region's members are dealt to as many slots, and each slot's member of the most weight is a pivot.
     """
     sizes = region.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
     slots = 1 + F.floor(F.col("members") / BLOCK)
     dealt = region.join(sizes, "region").withColumn("slot", F.pmod(F.xxhash64(F.lit(3), "rep"), slots))
-    return dealt.groupBy("region", "slot").agg(F.min("rep").alias("pivot")).select("region", "pivot")
+    return dealt.groupBy("region", "slot").agg(F.max_by("rep", F.struct("weight", "rep")).alias("pivot")).select("region", "pivot")
 
 
 def _parts(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -424,7 +428,7 @@ def _parts(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     facts = written(_facts(texts, size, percent), "jaccard-docs")
     # A null id must not hide that a set has a document: it stands behind all others.
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")
-    reps = facts.filter("n > 0").groupBy("key").agg(F.min(order)["doc_id"].alias("least"), F.first("guests").alias("guests"), F.first("shares").alias("shares"))
+    reps = facts.filter("n > 0").groupBy("key").agg(F.min(order)["doc_id"].alias("least"), F.first("n").alias("n"), F.first("guests").alias("guests"), F.first("shares").alias("shares"))
     reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "jaccard-reps")
     shared = written(_shared(texts, size, percent), "jaccard-shared")
     region = _regions(shared, reps)
@@ -443,8 +447,8 @@ def _parts(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
         links, label, cells = _split(large, members, stored, percent, links)
         if cells.count() > 2 * n:
             break
-        rest = region.join(large.select("region").distinct(), "region", "left_anti").select("region", "rep")
-        old, region = region, written(rest.union(cells.select(F.xxhash64(F.lit(n), "region").alias("region"), "rep")), "jaccard-regions")
+        rest = region.join(large.select("region").distinct(), "region", "left_anti").select("region", "rep", "n", "weight")
+        old, region = region, written(rest.union(cells.select(F.xxhash64(F.lit(n), "region").alias("region"), "rep", "n", "weight")), "jaccard-regions")
         for used in (old, large, cells):
             discard(used)
     links = written(links.union(_in_tasks(region, members, label, percent)), "jaccard-links")
@@ -475,8 +479,8 @@ def _cells(region: DataFrame, chosen: DataFrame, met: DataFrame, dist: DataFrame
 
     Two members of a region that are no pivots of it meet in the home of either. A guest of a pivot it was measured
     against comes in if its distance is within the radius of the distances that members at home have: else
-    none of them can be within the radius of it. Where all at home are of its component, it does not come in. Cells of
-    one component need no further work.
+    none of them can be within the radius of it. Where all at home are of its component, it does not come in. Regions and
+    cells of one component need no further work. In a region of more than HOMES homes all meet in the region itself.
     """
     ends = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")]
     near = met.select("rep", "pivot", *ends).distinct().join(dist, ["a", "b"]).select("rep", "pivot", "d")
@@ -486,18 +490,24 @@ def _cells(region: DataFrame, chosen: DataFrame, met: DataFrame, dist: DataFrame
     reach = home.groupBy("cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     inside = region.join(chosen.select("region", F.col("pivot").alias("rep")), ["region", "rep"], "left_anti")
     inside = inside.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left").withColumn("label", F.coalesce("component_id", "rep"))
-    inside = inside.join(home.select("rep", F.col("cell").alias("own")), "rep", "left").select("region", "rep", "label", "own")
-    homes = inside.filter("own is not null").groupBy("region", F.col("own").alias("cell")).agg(F.min("label").alias("least"), F.max("label").alias("most")).withColumnRenamed("region", "at")
+    inside = inside.join(home.select("rep", F.col("cell").alias("own")), "rep", "left").select("region", "rep", "n", "weight", "label", "own")
+    inside = written(inside, "jaccard-inside")
+    homes = inside.groupBy("region", F.col("own").alias("cell")).agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    homes_of = written(homes, "jaccard-inside-homes")
+    mixed = homes_of.groupBy("region").agg(F.min("least").alias("x"), F.max("most").alias("y"), F.count(F.lit(1)).alias("homes")).filter("x <> y")
+    whole = inside.join(mixed.filter(F.col("homes") > HOMES).select("region"), "region").select(F.xxhash64(F.lit(11), "region").alias("region"), "rep", "n", "label", "weight")
+    homes = homes_of.join(mixed.filter(F.col("homes") <= HOMES).select("region"), "region").withColumnRenamed("region", "at")
     # A guest has nothing to find where all who are at home are of its own component.
     news = (F.col("own") == F.col("cell")) | (F.col("least") != F.col("label")) | (F.col("most") != F.col("label"))
-    enter = inside.join(homes, (F.col("region") == F.col("at")) & (F.col("rep") != F.col("cell")) & F.coalesce(news, F.lit(True))).select("rep", "cell", "label").distinct()
+    enter = inside.join(homes, (F.col("region") == F.col("at")) & (F.col("rep") != F.col("cell")) & news)
+    enter = enter.groupBy("rep", "n", "cell", "label").agg(F.max("weight").alias("weight"))
     enter = enter.join(near.select("rep", F.col("pivot").alias("cell"), "d"), ["rep", "cell"], "left").join(reach, "cell")
     eps = 1e-9
     stays = enter.filter(F.col("d").isNull() | F.col("d").between(F.col("lo") - radius - eps, F.col("hi") + radius + eps))
-    stays = written(stays.select(F.col("cell").alias("region"), "rep", "label"), "jaccard-cells")
+    stays = written(stays.select(F.col("cell").alias("region"), "rep", "n", "label", "weight").union(whole), "jaccard-cells")
     mixed = stays.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("region")
-    out = written(_once(stays.join(mixed, "region").select("region", "rep")), "jaccard-regions")
-    for used in (near, home, stays):
+    out = written(_once(stays.join(mixed, "region").select("region", "rep", "n", "weight")), "jaccard-regions")
+    for used in (near, home, inside, homes_of, stays):
         discard(used)
     return out
 
@@ -537,7 +547,7 @@ def _links_in(percent: int):
 def _in_tasks(region: DataFrame, members: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """a, b: links that are left in regions, each joined in one task, or in blocks of bounded size, each block with each."""
     own = label.select(F.col("id").alias("rep"), "component_id")
-    held = region.join(members.select("rep", "n"), "rep").join(own, "rep", "left").select("region", "rep", "n", F.coalesce("component_id", "rep").alias("label"))
+    held = region.join(own, "rep", "left").select("region", "rep", "n", F.coalesce("component_id", "rep").alias("label"))
     sizes = held.groupBy("region").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     held = held.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
