@@ -285,6 +285,29 @@ def test_jaccard(spark, odd, empty):
     assert jaccard.join(empty).count() == 0 and jaccard.keep_one(docs).count() == len({c for _, c in _brute(texts, 5, 80).values()})
 
 
+def test_jaccard_pivots(spark, monkeypatch):
+    """A text is the pivot of its near copies although they are too far from each other; and members enter a bounded number of cells."""
+    rng = np.random.default_rng(5)
+    w, texts = rng.integers(0, 9999, 300).astype(str).tolist(), {}
+    for j in range(80):
+        other = set(rng.integers(0, 300, 5).tolist())
+        texts[j] = " ".join(str(20_000 + j) if i in other else x for i, x in enumerate(w))
+    texts[1000] = " ".join(w)
+    split, seen = jaccard._split, []
+
+    def counted(region, members, *more):
+        out = split(region, members, *more)
+        seen.append((region.count(), out[2].count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_split", counted)
+    for some in (texts, {i: t for i, t in texts.items() if i < 1000}):
+        docs = spark.createDataFrame([*some.items()], "doc_id long, text string")
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, 4, 85).collect()} == _brute(some, 4, 85)
+    assert seen[0][1] == 0 < seen[1][0] and seen[1][1] <= jaccard.HOMES * seen[1][0]
+    assert len({c for _, c in _brute(texts, 4, 85).values()}) == 1
+
+
 def test_keep_one(spark, odd):
     # Null ids: alone, and a group of nothing else; an id of two texts, one of them a near copy; empty texts that repeat.
     rows = [(None, "alone here"), *[(None, " ".join(map(str, range(n)))) for n in (60, 61, 60)], (13, TEXT), (5, TEXT + " end"), (5, "another text of the same id"), (5, ""), (None, None)]
